@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .text import let
 
 #: Separators and words of the accepted formats.
-_DATE = r"(?:(\d{2,4})[ \-/年])? ?(\d{1,2})[ \-/月] ?(\d{1,2})[ \-/日号]?"
+_DATE = r"(?:(\d{2,4})[ \-/年]|(?! \d{2}[\-/] ?\d{1,2}[\-/] ?\d)) ?(\d{1,2})[ \-/月] ?(\d{1,2})[ \-/日号]?"
 _TIME = r"([0-9]{1,2})[:时点] ?(?:([0-9]{1,2})(?: ?(?::|分钟|分) ?([0-9]{1,2})(?:秒钟|秒)?)?)?"
 _AGO = r" *(?:之前|前|ago)"
 _RELATIVE = (
@@ -81,7 +81,7 @@ def absolute_date(text: Column, as_of: Column) -> Column:
             F.coalesce(year, F.year(as_of)), F.coalesce(d["month"], F.month(as_of)), F.coalesce(d["day"], F.day(as_of)),
             F.coalesce(t["hour"], F.greatest(F.hour(as_of) - 2, F.lit(0))), F.coalesce(t["minute"], F.minute(as_of)), F.coalesce(t["second"], F.second(as_of)).cast("decimal(8,6)"),
         )
-        yesterday = (F.instr(text, "昨天") > 1) & d["year"].isNull()
+        yesterday = (F.instr(text, "昨天") > 0) & d["year"].isNull()
         moved = F.when(yesterday, ts - F.expr("INTERVAL 1 DAY")).otherwise(ts)
         beg = F.when(d["end"] > 0, d["beg"]).otherwise(t["beg"])
         end = F.when(t["end"] > 0, d["end"] + t["end"]).otherwise(d["end"])
@@ -141,7 +141,7 @@ def first_date(text: Column, as_of: Column) -> Column:
 def separated(text: Column, found: Column) -> Column:
     """``found`` if a separator or the text's end is on both its sides, else no date."""
     before, after = F.substring(text, found["beg"], F.lit(1)), F.substring(text, found["end"] + 1, F.lit(1))
-    fine = ((found["beg"] == 0) | before.rlike(_SEPARATORS)) & ((found["end"] >= F.length(text)) | after.rlike(_SEPARATORS))
+    fine = ((found["beg"] == 0) | before.rlike(_SEPARATORS)) & ((found["end"] >= F.length(text)) | after.rlike(_SEPARATORS) | F.substring(text, found["end"], F.lit(1)).rlike(_SEPARATORS))
     return F.when(fine, found).otherwise(_nothing(text))
 
 

@@ -93,12 +93,13 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if names := CLOSES.get(tag):
             stop = BARRIERS.get(tag if tag in BARRIERS else names[0], frozenset())
+            outermost = len(self.open)
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag in names:
-                    del self.open[k:]
-                    break
-                if self.open[k].tag in stop:
+                    outermost = k
+                elif self.open[k].tag in stop:
                     break
+            del self.open[outermost:]
         node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
         if tag not in VOID:
             self.open.append(node)

@@ -51,7 +51,7 @@ def parse_site(name: str, text: str) -> tuple | None:
 
 def read_sites(spark: SparkSession, folder: str, pattern: str = "*.dat") -> DataFrame:
     """A row for each usable site template of a folder. Templates are small files, one for each site: they are read on the driver."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(F.input_file_name().alias("path"), "value").collect()
+    rows = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value").collect()
     found = [parse_site(r["path"].rsplit("/", 1)[-1], r["value"]) for r in sorted(rows, key=lambda r: r["path"])]
     return spark.createDataFrame([x for x in found if x], SITES)
 
