@@ -110,7 +110,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         index.append(digest_groups(docs))
         # By path, not by table: then both sides are shuffled, and a hot digest's rows can be split.
-        groups = spark.read.parquet(spark.sql(f"DESCRIBE EXTENDED {index.name}").where("col_name = 'Location'").first()["data_type"])
+        groups = spark.read.schema(index.read().schema).parquet(spark.sql(f"DESCRIBE EXTENDED {index.name}").where("col_name = 'Location'").first()["data_type"])
         return checkpointed(report(docs, groups))
     finally:
         index.drop()

@@ -84,11 +84,11 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return hits.select("blob").join(spans.select("blob", findings.alias("findings")), "blob", "left").select("blob", F.coalesce("findings", F.expr("array()").cast(EMPTY)).alias("findings"))
 
 
-def with_findings(versions: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """``versions`` with ``findings`` appended from ``found`` (blob, findings): a row for each blob that has any."""
+def with_findings(versions: DataFrame, found: DataFrame, text: str, name: str = "findings") -> DataFrame:
+    """``versions`` with column ``name`` appended (or replaced) from ``found`` (blob, findings): a row for each blob that has any."""
     rows = versions.withColumn("_blob", blob_of(F.col(text)))
     found = found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    return rows.join(found, "_blob", "left").select(*versions.columns, F.coalesce("_found", F.expr("array()").cast(EMPTY)).alias("findings"))
+    return rows.join(found, "_blob", "left").select(*[c for c in versions.columns if c != name], F.coalesce("_found", F.expr("array()").cast(EMPTY)).alias(name))
 
 
 class BlobLedger:
@@ -147,15 +147,15 @@ def redacted(text: Column, findings: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(findings) > 0, whole).otherwise(text)
 
 
-def scan_table(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``df`` with ``findings`` appended, by a ledger made for this call; of it only the blobs with findings are kept."""
+def scan_table(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, name: str = "findings") -> DataFrame:
+    """``df`` with column ``name`` appended (or replaced), by a ledger made for this call; of it only the blobs with findings are kept."""
     ledger = BlobLedger(df.sparkSession, f"blobs_{uuid.uuid4().hex}", rules)
     try:
         ledger.ingest(df, text)
         found = checkpointed(ledger.scanned().where(F.size("findings") > 0))
     finally:
         ledger.drop()
-    return with_findings(df, found, text)
+    return with_findings(df, found, text, name)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -200,7 +201,7 @@ class Source:
 
 def _parse(head: bytes, start: int) -> tuple[dict[str, str], int]:
     lines = head.split(b"\r\n")
-    if not lines[0].startswith(VERSION):
+    if not re.fullmatch(rb"WARC/1\.[0-9]+", lines[0]):
         raise Damaged("no version line")
     headers = _fields(lines[1:])
     if not headers.get("content-length", "").isdigit():
