@@ -14,6 +14,7 @@ their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from .common import checkpointed, table
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED = 250_000
+#: Words, and parts of words, used of late whose ids a worker remembers twice over.
+REMEMBERED = 150_000
 #: Steps of one bin's enumeration, fillings kept of it, and enumeration steps of the whole search.
 FILL_STEPS, FILLINGS, SEARCH_STEPS = 400, 4, 500_000
 #: Tasks over which the pieces of one length are ranked.
@@ -40,32 +42,86 @@ SALTS = 64
 Run = tuple[tuple[tuple[int, int], ...], int]
 
 
+class Recent(dict):
+    """Values of keys used of late: at ``most`` the current ones become the old ones, which are asked before they are forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys of ``keys`` without a value; old ones become current."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        new, old = keys.difference(self), self.old
+        back = list(filter(old.__contains__, new)) if old else []
+        self.update(zip(back, map(old.__getitem__, back)))
+        return list(new.difference(back))
+
+
 class WordIds:
-    """Ids of whole texts, by white-space-separated words that the tokenizer has encoded before.
+    """Ids of whole texts, by white-space-separated words that were encoded before.
 
     The tokenizer drops white space and nothing in it looks across ASCII white
-    space, so a text's ids are those of its words in order.
+    space, so a text's ids are those of its words in order. Words of Latin
+    letters, digits and marks are lower-cased and cut as the tokenizer cuts
+    them, so that it is only asked for parts it hasn't seen, all at once; other
+    words it gets whole.
     """
 
+    #: Characters, in UTF-8, that normalise to themselves but for case: U+0021 to U+007E and U+00A1 to U+024F without U+0130.
+    PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|[\xc3\xc5-\xc8][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc9[\x80-\x8f])+")
+    #: Fixed value: how the tokenizer cuts text; and a line feed, which parts words that are cut together.
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+    #: What a line feed becomes: no id has these bytes, nor do two ids in a row.
+    BORDER = b"\xff" * 4
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
+
+    def _one(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        """Encodes the unknown parts as one text and takes its ids apart by word."""
+        new = self.parts.unknown(parts)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of = np.asarray(found.word_ids)
+            ends = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
+            if len(of) and of[-1] == len(some) - 1:
+                data = np.asarray(found.ids, dtype="<u4").tobytes()
+                self.parts.update((w, data[i:j]) for w, i, j in zip(some, ends, ends[1:]))
+            else:
+                self.parts.update((w, self._one(w)) for w in some)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [x.encode(errors="replace").split() for x in texts]
-        if new := list(set().union(*split).difference(self.known)):
-            found = self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        new = self.words.unknown(set().union(*split))
+        simple = list(map(self._simple, new))
+        cut = [w for w, fine in zip(new, simple) if fine]
+        rare = [w for w, fine in zip(new, simple) if not fine]
+        if cut:
+            parts = self.PARTS.findall(b"\n".join(cut).decode().lower())
+            self._learn_parts({*parts} - {"\n"})
+            self.parts["\n"] = self.BORDER
+            self.words.update(zip(cut, b"".join(map(self.parts.__getitem__, parts)).split(self.BORDER), strict=True))
+        self.words.update((w, self._one(w.decode())) for w in rare)
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            yield b"".join(map(self.words.__getitem__, words))
+        for w in rare:
+            del self.words[w]
+
+    def _simple(self, word: bytes) -> bool:
+        """Whether a word may be cut here: not long, nothing of a special token, only characters that stay as they are but for case."""
+        return len(word) < 64 and b"<|" not in word and self.PLAIN.fullmatch(word) is not None
 
 
 @lru_cache(2)
