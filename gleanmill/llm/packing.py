@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, used of late whose ids a worker remembers twice over.
 REMEMBERED = 150_000
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 4 << 20
 #: Steps of one bin's enumeration, fillings kept of it, and enumeration steps of the whole search.
 FILL_STEPS, FILLINGS, SEARCH_STEPS = 400, 4, 500_000
 #: Tasks over which the pieces of one length are ranked.
@@ -101,10 +104,9 @@ class WordIds:
             else:
                 self.parts.update((w, self._one(w)) for w in some)
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [x.encode(errors="replace").split() for x in texts]
-        new = self.words.unknown(set().union(*split))
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Makes every word's ids known; returns those that are to be forgotten after use."""
+        new = self.words.unknown(words)
         simple = list(map(self._simple, new))
         cut = [w for w, fine in zip(new, simple) if fine]
         rare = [w for w, fine in zip(new, simple) if not fine]
@@ -114,10 +116,29 @@ class WordIds:
             self.parts["\n"] = self.BORDER
             self.words.update(zip(cut, b"".join(map(self.parts.__getitem__, parts)).split(self.BORDER), strict=True))
         self.words.update((w, self._one(w.decode())) for w in rare)
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        return rare
+
+    def texts(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; null counts as empty.
+
+        Splitting, finding the distinct words and putting their ids in the
+        texts' order are Arrow's; Python sees each distinct word once.
+        """
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        rare = self._learn(set(distinct))
+        own = pa.array(list(map(self.words.__getitem__, distinct)), pa.large_binary())
         for w in rare:
             del self.words[w]
+        flat = own.take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], dtype=np.int64, count=len(flat) + 1, offset=8 * flat.offset) if len(flat) else np.zeros(1, dtype=np.int64)
+        data = memoryview(flat.buffers()[2] or b"")
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])].tolist()
+        for low, high in zip(at, at[1:]):
+            yield bytes(data[low:high])
 
     def _simple(self, word: bytes) -> bool:
         """Whether a word may be cut here: not long, nothing of a special token, only characters that stay as they are but for case."""
@@ -129,6 +150,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts begin within the same ``CHUNK_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CHUNK_BYTES, prepend=-1)).tolist()
+    for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
 def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of rows (doc_id, text): doc_id, piece, start, length, ids_crc32, and their ids if asked for.
 
@@ -140,10 +169,9 @@ def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _by_size(batch):
                 out = []
-                for key, ids in zip(part.column("doc_id").to_pylist(), word_ids(path).texts([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                for key, ids in zip(part.column("doc_id").to_pylist(), word_ids(path).texts(part.column("text")), strict=True):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
