@@ -3,11 +3,13 @@
 Every document becomes pieces of at most ``capacity`` tokens; only longer ones
 are cut. Packing sees just how many pieces have each length: at most
 ``capacity`` numbers, however large the corpus. A bin is completed around the
-largest piece left: the fillings of its free space that no other filling
-dominates are enumerated, least waste first, and the chosen one is repeated as
-often as the counts allow, which at least halves one length's count: there are
-at most ``capacity * log2(largest count)`` choices. A best-fit solution is the first incumbent; branches
-whose waste already rules out beating the incumbent are cut. Pieces then take
+largest piece left: all fillings of its free space that no other filling
+dominates are enumerated, one after the other, and the chosen one is repeated as
+often as the counts allow, then ever less often. The first descent at least
+halves one length's count with each choice: it has at most ``capacity *
+log2(largest count)`` choices. A best-fit solution is the first incumbent;
+branches whose waste already rules out beating the incumbent are cut, and the
+steps of the whole search are limited. Pieces then take
 their places by their rank among the pieces of their length.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +39,8 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 150_000
 #: Bytes of text that are encoded together.
 CHUNK_BYTES = 4 << 20
-#: Steps of one bin's enumeration, fillings kept of it, and enumeration steps of the whole search.
-FILL_STEPS, FILLINGS, SEARCH_STEPS = 400, 4, 500_000
+#: Most steps that look for the filling to try first, which are no cut, and steps of the whole search, which are the only one.
+FILL_STEPS, SEARCH_STEPS = 400, 500_000
 #: Tasks over which the pieces of one length are ranked.
 SALTS = 64
 
@@ -212,64 +215,82 @@ def _fit(left: np.ndarray, first: int, capacity: int) -> tuple[tuple[int, int],
     return tuple(filling)
 
 
-def fillings(left: np.ndarray, first: int, capacity: int, steps: int = FILL_STEPS, keep: int = FILLINGS) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int]:
-    """(waste, filling) of undominated fillings around ``first``, least waste first, and the steps taken; the best-fit one is among them.
+class Fillings:
+    """All undominated fillings around ``first``, one at a time: first the one of least waste that ``probe`` steps find, then the others, longest pieces first.
 
     A filling is dominated if one of its pieces could be swapped for a longer
-    one that is left and fits, or another could be added.
+    one that is left and fits, or another could be added. ``left`` is not
+    copied: whenever one is asked for it must hold what it held at first.
+    ``without`` is a filling to leave out.
     """
-    own = left.copy()
-    own[first] -= 1
-    sizes = [int(k) for k in np.flatnonzero(own)[::-1] if 0 < k <= capacity - first]
-    best = _fit(left, first, capacity)
-    found = {best: capacity - sum(s * k for s, k in best)}
-    if not sizes or not found[best]:
-        return [(w, f) for f, w in found.items()], 1
-    smallest = sizes[-1]
-    spent = 0
-
-    def dominated(chosen: dict[int, int], waste: int) -> bool:
-        if waste <= 0:
-            return False
-        fits = np.flatnonzero(own[1 : waste + 1])
-        if any(own[k + 1] > chosen.get(int(k) + 1, 0) for k in fits):
-            return True
-        for s in chosen:
-            longer = np.flatnonzero(own[s + 1 : s + waste + 1])
-            if any(own[s + 1 + k] > chosen.get(s + 1 + int(k), 0) for k in longer):
-                return True
-        return False
-
-    def search(at: int, space: int, chosen: dict[int, int]) -> bool:
-        """True once a filling without waste is found or the steps are spent."""
-        nonlocal spent
-        spent += 1
-        if spent > steps:
-            return True
-        if space < smallest or at == len(sizes):
-            if not dominated(chosen, space):
-                whole = dict(chosen)
-                whole[first] = whole.get(first, 0) + 1
-                found[tuple(sorted(whole.items(), reverse=True))] = space
-            return not space
-        while at < len(sizes) and sizes[at] > space:
-            at = max(at + 1, int(np.searchsorted(negative, -space)))
-        if at == len(sizes):
-            return search(at, space, chosen)
-        if own[space] > chosen.get(space, 0) and space <= sizes[at]:  # one piece fills it
-            whole = {**chosen, space: chosen.get(space, 0) + 1}
-            whole[first] = whole.get(first, 0) + 1
-            found[tuple(sorted(whole.items(), reverse=True))] = 0
-            return True
-        size = sizes[at]
-        for times in range(min(space // size, int(own[size])), -1, -1):
-            if search(at + 1, space - times * size, {**chosen, size: times} if times else chosen):
-                return True
-        return False
-
-    negative = -np.asarray(sizes)
-    search(0, capacity - first, {})
-    return sorted(((w, f) for f, w in found.items()), key=lambda x: (x[0], [-s for s, _ in x[1]]))[:keep], spent
+
+    def __init__(self, left: np.ndarray, first: int, capacity: int, probe: int = FILL_STEPS, without: tuple[tuple[int, int], ...] | None = None):
+        self.left, self.first, self.space, self.probe, self.without = left, first, capacity - first, probe, without
+        self.spent = 0
+        self._restart()
+
+    def _restart(self) -> None:
+        #: Position in the lengths, space, most waste, last length of which pieces were left out, what was chosen, how often to choose the position's (-1: not known).
+        self.stack = [(0, self.space, self.space, 2 * self.space + 1, (), -1)] if self.first else []
+
+    def _load(self) -> None:
+        own = self.left[: self.space + 1].copy()
+        if self.first <= self.space:
+            own[self.first] -= 1
+        sizes = np.flatnonzero(own)[::-1]
+        counts = own[sizes]
+        self.rest = [*np.cumsum((sizes * counts)[::-1])[::-1].tolist(), 0]
+        self.sizes, self.counts, self.negative = sizes.tolist(), counts.tolist(), (-sizes).tolist()
+
+    def _whole(self, chosen: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:
+        if chosen and chosen[0][0] == self.first:
+            return ((self.first, chosen[0][1] + 1), *chosen[1:])
+        return ((self.first, 1), *chosen)
+
+    def _search(self, allowed: int, steps: int) -> tuple[int, tuple[tuple[int, int], ...]] | None:
+        """The next filling with at most ``allowed`` waste; None if there is no other or ``steps`` are spent."""
+        sizes, counts, rest = self.sizes, self.counts, self.rest
+        while self.stack and self.spent < steps:
+            at, space, cap, skipped, chosen, times = self.stack.pop()
+            self.spent += 1
+            if times < 0:
+                at = max(at, bisect_left(self.negative, -space))
+                if space - rest[at] > min(cap, allowed):
+                    continue
+                if at == len(sizes) or sizes[at] == space:  # nothing else fits, or one piece fills it
+                    found = self._whole((*chosen, (space, 1)) if at < len(sizes) else chosen)
+                    if found != self.without:
+                        return (0 if at < len(sizes) else space), found
+                    continue
+                times = min(space // sizes[at], counts[at])
+            size, most = sizes[at], min(space // sizes[at], counts[at])
+            if times:
+                self.stack.append((at, space, cap, skipped, chosen, times - 1))
+                cap, chosen = min(cap, skipped - size - 1), (*chosen, (size, times))
+            if times < most:
+                cap, skipped = min(cap, size - 1), size
+            self.stack.append((at + 1, space - times * size, cap, skipped, chosen, -1))
+        return None
+
+    def next(self, allowed: int, steps: int) -> tuple[int, tuple[tuple[int, int], ...]] | None:
+        """(waste, filling); ``self.spent`` is the number of steps that this took, ``steps`` at most."""
+        self.spent, best = 0, None
+        if allowed < 0 or not self.first:
+            return None
+        self._load()
+        if self.probe:
+            while (best is None or best[0]) and (found := self._search(allowed, min(self.probe, steps))):
+                best = min(best or found, found, key=lambda x: x[0])
+            self.probe = 0
+            self._restart()
+            self.given = best and best[1]
+            if not best:  # the probe was too short
+                best = self._search(allowed, steps)
+        else:
+            while (best := self._search(allowed, steps)) and best[1] == self.given:
+                pass
+        self.rest = self.sizes = self.counts = self.negative = None
+        return best
 
 
 def _repeats(left: np.ndarray, filling: tuple[tuple[int, int], ...]) -> int:
@@ -303,46 +324,45 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, steps: int = SEA
     if bins <= bound:
         return best
     left, waste, spent = counts.copy(), 0, 0
-    path: list[tuple[Run, int, list]] = []  # run, its waste, the fillings not tried yet
+    path: list[tuple[Fillings, tuple[tuple[int, int], ...], int, int]] = []  # a node, the filling tried, its waste, how often
 
-    def options() -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-        nonlocal spent
-        largest = int(np.max(np.flatnonzero(left), initial=0))
-        found, taken = fillings(left, largest, capacity) if largest else ([], 1)
-        spent += taken
-        return found
+    def node(without: tuple[tuple[int, int], ...] | None = None) -> Fillings:
+        held = np.flatnonzero(left)
+        probe = min(FILL_STEPS, max(1, (steps - spent) // (4 * len(held) + 1)))  # so that the first descent leaves steps to spend
+        return Fillings(left, int(held[-1]) if len(held) else 0, capacity, probe, without)
 
-    pending = options()
+    now = node()
     while spent < steps:
-        spent += 1
-        allowed = (bins - 1) * capacity - total  # more waste than this can't beat the incumbent
-        while pending and waste + pending[0][0] > allowed:
-            pending.pop(0)
-        if pending:
-            own, filling = pending.pop(0)
+        allowed = (bins - 1) * capacity - total - waste  # more waste than this can't beat the incumbent
+        found, without = now.next(allowed, steps - spent), None
+        spent += 1 + now.spent
+        if found:
+            own, filling = found
             times = _repeats(left, filling)
-            if waste + own * times > allowed and own:
-                times = max(1, (allowed - waste) // own)
+        elif path:
+            now, filling, own, times = path.pop()
             for s, k in filling:
-                left[s] -= k * times
-            waste += own * times
-            path.append(((filling, times), own * times, pending))
-            if not left.any():
-                found = sum(t for (_, t), _, _ in path)
-                if found < bins:
-                    best, bins = [r for r, _, _ in path], found
-                if bins <= bound:
-                    break
-                pending = []
-            else:
-                pending = options()
-            continue
-        if not path:
+                left[s] += k * times
+            waste -= own * times
+            allowed += own * times
+            times, without = times - 1, filling
+        else:
             break
-        (filling, times), lost, pending = path.pop()
+        times = min(times, allowed // own) if own else times
+        if times < 1 or allowed < 0:
+            continue
         for s, k in filling:
-            left[s] += k * times
-        waste -= lost
+            left[s] -= k * times
+        waste += own * times
+        path.append((now, filling, own, times))
+        if not left.any() and (used := sum(t for *_, t in path)) < bins:
+            runs: dict[tuple[tuple[int, int], ...], int] = {}
+            for _, f, _, t in path:
+                runs[f] = runs.get(f, 0) + t
+            best, bins = list(runs.items()), used
+            if bins <= bound:
+                break
+        now = node(without)
     return best
 
 

@@ -182,6 +182,21 @@ def test_bin_completion_finds_small_optima():
         assert packing.lower_bound(counts, 20) <= optimum(sizes, 20) == sum(t for _, t in runs)
 
 
+@pytest.mark.parametrize("sizes,bins", [([60, 45, 45, 41, 30, 29, 20, 20, 10], 3), ([60] * 4 + [40] * 2 + [20] * 4 + [30] * 2 + [10] * 2 + [50] * 2, 6)])
+def test_bin_completion_tries_all_fillings(sizes, bins):
+    runs = packing.complete_bins(np.bincount(sizes, minlength=101), 100)
+    assert sum(t for _, t in runs) == bins
+    assert sorted(s for f, t in runs for s, k in f for _ in range(k * t)) == sorted(sizes)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bin_completion_finds_optima_of_repeated_lengths(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        sizes = sorted(rng.choice(rng.integers(4, 28, 6), 12).tolist(), reverse=True)
+        assert sum(t for _, t in packing.complete_bins(np.bincount(sizes, minlength=41), 40)) == optimum(sizes, 40)
+
+
 def test_bin_completion_is_never_worse_than_best_fit():
     rng = np.random.default_rng(6)
     for _ in range(5):
