@@ -142,11 +142,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` whose key is the least of their group, all columns unchanged; rows with a null key only where their group has no key, and of rows with equal keys one."""
-    groups = near_groups(df, key, text, words, seed, bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    own = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)
+    """One row of each group, all columns unchanged: that of the least key; one with a null key only where the group has no other."""
+    # The key is marked so that null is apart from all others; a digest of the text tells rows of one key apart.
+    marked = df.withColumns({"_k": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")), "_d": F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))})
+    groups = near_groups(marked, "_d", text, words, seed, bits).select(F.col("doc_id").alias("_d"), "component_id").distinct()
+    rows = marked.select(F.col(key).alias("key"), "_k", "_d").join(groups, "_d")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "_k", "_d")).alias("r")).select("r._k", "r._d")
+    return marked.join(kept, ["_k", "_d"], "left_semi").dropDuplicates(["_k", "_d"]).select(*df.columns)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

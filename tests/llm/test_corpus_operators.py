@@ -89,6 +89,13 @@ def test_simhash_edges(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 5, 6, 8]
 
 
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (None, texts[5]), (None, texts[5])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"][0]) for r in kept) == [(-1, "a"), (-1, "b"), (-1, "f"), (5, "d"), (5, "e"), (7, "c")]
+
+
 def test_components_of_nothing(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
