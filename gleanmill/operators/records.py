@@ -26,7 +26,7 @@ from .page import normalise, rooted
 
 #: Shares of a node's text above which a child stands for it: while descending to the region, and within a record.
 MAIN_RATE, RECORD_RATE = 0.6, 0.99
-LEAST_REPEATS, MOST_LEVELS, MOST_DEPTH = 3, 3, 8
+LEAST_REPEATS, MOST_LEVELS = 3, 3
 #: Bytes of a title, shares of a record's text that a title may and a summary must have, and the share of links that makes a record count whole.
 TITLE_BYTES, TITLE_RATE, TITLE_RATE_ALONE, SUMMARY_RATE, LINKED_RATE = 12, 0.5, 0.8, 0.4, 0.7
 LONGEST_TEXT = 400
@@ -114,7 +114,7 @@ def take_apart(item: Node, units: Units, page: str, has_summary: bool) -> dict:
         return out
     kind = 0 if not has_summary or units.link_rate(node) > LINKED_RATE else 1
     whole, rate = units.size(node, kind), TITLE_RATE if has_summary else TITLE_RATE_ALONE
-    for _ in range(MOST_DEPTH):
+    while True:
         title = summary = best = None
         most = 0
         for child in node.children:

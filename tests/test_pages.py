@@ -63,6 +63,17 @@ def test_all_linkless_children_are_dropped():
     assert len(records.region(root, units)[1]) == 5
 
 
+def test_parts_of_a_record_may_lie_deep():
+    inner = "<h3><a href='/1'>A title that is long enough</a></h3><p>" + "words " * 55 + "</p>"
+    for k in range(12):
+        inner = f"<div><i>side {k:03d}</i>{inner}</div>" if k == 11 else f"<i>side {k:03d}</i><div>{inner}</div>"
+    root = dom.parse(f"<html><body>{inner}</body></html>")
+    units = dom.Units(dom.root_of(root), 400)
+    item = next(x for x in root.walk() if x.tag == "div")
+    got = records.take_apart(item, units, "http://h/s", True)
+    assert got["title"] == "A title that is long enough" and got["summary"].startswith("words words")
+
+
 def test_date_in_the_summary_is_cut_out(spark):
     item = lambda k: f"<div><h3><a href='/{k}'>A title that is long {k}</a></h3><p>{'words ' * 20}2020-01-0{k} 10:11:12 {'more ' * 5}</p></div>"
     pages = spark.createDataFrame([(1, "http://h/s", "<html><body><div>" + "".join(map(item, range(1, 5))) + "</div></body></html>")], "page_id long, url string, html string")
