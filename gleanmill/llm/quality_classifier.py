@@ -54,7 +54,9 @@ def features(text: str | None) -> np.ndarray:
     for k in range(1, 5):
         rolled = rolled * 1_000_003 + hashes[k : k + windows]
     part = lambda k: np.sqrt((chars - len(text.translate(_DROP[k]))) / max(1, chars))
-    upper = chars - sum(map(str.__eq__, text, text.lower())) if not text.islower() and len(text.lower()) == chars else 0
+    low = text.lower()
+    # U+0130 becomes two characters; then every character is lower-cased by itself.
+    upper = chars - sum(map(str.__eq__, text, low if len(low) == chars else map(str.lower, text))) if not text.islower() else 0
     return np.array(
         [
             np.log1p(chars),

@@ -221,3 +221,9 @@ def test_shards_are_written(spark, odd, tmp_path):
     sharding.write_shards(odd.select("doc_id", "text"), "doc_id", str(tmp_path / "out"), ("a", "b", "c"), 101)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == odd.count() and back.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_capitals_count_whatever_lower_casing_does_to_the_length():
+    assert quality_classifier.features("ABCD efgh")[11] == pytest.approx((4 / 9) ** 0.5)
+    assert quality_classifier.features("ABCİ efgh")[11] == pytest.approx((4 / 9) ** 0.5)
+    assert quality_classifier.features("abcd efgh")[11] == 0
