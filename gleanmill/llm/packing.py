@@ -15,12 +15,13 @@ their places by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import codecs
 import os
-import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,27 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, used of late whose ids a worker remembers twice over.
 REMEMBERED = 150_000
 #: Bytes of text that are encoded together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Most steps that look for the filling to try first, which are no cut, and steps of the whole search, which are the only one.
 FILL_STEPS, SEARCH_STEPS = 400, 500_000
 #: Tasks over which the pieces of one length are ranked.
 SALTS = 64
 
+#: Bytes that no simple word has: ASCII but the printable, and what begins characters past U+024F.
+_STRANGE = np.array([(b <= 0x20 and b != 0x0A) or b == 0x7F or b >= 0xCA for b in range(256)])
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies have for each byte: printable Latin-1 its own, the others those from U+0100 on; here a space stays one."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    letters = [chr(b if b in own else next(others)) for b in range(256)]
+    letters[0x20] = " "
+    return "".join(letters)
+
+
+BYTE_LETTERS = _byte_letters()
+
 #: A run: one filling, as (length, how often) with the longest first, and how many bins have it.
 Run = tuple[tuple[tuple[int, int], ...], int]
 
@@ -72,12 +88,10 @@ class WordIds:
     The tokenizer drops white space and nothing in it looks across ASCII white
     space, so a text's ids are those of its words in order. Words of Latin
     letters, digits and marks are lower-cased and cut as the tokenizer cuts
-    them, so that it is only asked for parts it hasn't seen, all at once; other
-    words it gets whole.
+    them, so that its merges are only asked for parts not seen before, all at
+    once; other words the whole tokenizer gets.
     """
 
-    #: Characters, in UTF-8, that normalise to themselves but for case: U+0021 to U+007E and U+00A1 to U+024F without U+0130.
-    PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|[\xc3\xc5-\xc8][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc9[\x80-\x8f])+")
     #: Fixed value: how the tokenizer cuts text; and a line feed, which parts words that are cut together.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
     #: What a line feed becomes: no id has these bytes, nor do two ids in a row.
@@ -86,33 +100,37 @@ class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges over parts that are normalised, cut and in the letters of the vocabulary already.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a part.
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.final[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
 
     def _one(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_parts(self, parts: set[str]) -> None:
-        """Encodes the unknown parts as one text and takes its ids apart by word."""
+        """Encodes the unknown parts together and takes their ids apart after each final one."""
         new = self.parts.unknown(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            of = np.asarray(found.word_ids)
-            ends = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
-            if len(of) and of[-1] == len(some) - 1:
-                data = np.asarray(found.ids, dtype="<u4").tobytes()
-                self.parts.update((w, data[i:j]) for w, i, j in zip(some, ends, ends[1:]))
-            else:
-                self.parts.update((w, self._one(w)) for w in some)
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            letters = codecs.charmap_decode(" ".join(some).encode(), "strict", BYTE_LETTERS)[0]
+            ids = np.asarray(self.merges.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [0, *((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()]
+            data = ids.tobytes()
+            self.parts.update(zip(some, (data[i:j] for i, j in zip(ends, ends[1:])), strict=True))
 
     def _learn(self, words: set[bytes]) -> list[bytes]:
         """Makes every word's ids known; returns those that are to be forgotten after use."""
         new = self.words.unknown(words)
-        simple = list(map(self._simple, new))
-        cut = [w for w, fine in zip(new, simple) if fine]
-        rare = [w for w, fine in zip(new, simple) if not fine]
+        simple = self._simple(new)
+        cut, rare = list(compress(new, simple)), list(compress(new, ~simple))
         if cut:
             parts = self.PARTS.findall(b"\n".join(cut).decode().lower())
             self._learn_parts({*parts} - {"\n"})
@@ -143,9 +161,17 @@ class WordIds:
         for low, high in zip(at, at[1:]):
             yield bytes(data[low:high])
 
-    def _simple(self, word: bytes) -> bool:
-        """Whether a word may be cut here: not long, nothing of a special token, only characters that stay as they are but for case."""
-        return len(word) < 64 and b"<|" not in word and self.PLAIN.fullmatch(word) is not None
+    @staticmethod
+    def _simple(words: list[bytes]) -> np.ndarray:
+        """Which words may be cut here: under 64 bytes, nothing of a special token, only characters that normalise to themselves but for case.
+
+        Those are U+0021 to U+007E and U+00A1 to U+024F without U+0130.
+        """
+        data = np.frombuffer(b"\n".join([*words, b"", b""]), dtype=np.uint8)
+        here, after = data[:-1], data[1:]
+        strange = _STRANGE[here] | ((here == 0xC2) & (after < 0xA1)) | ((here == 0xC4) & (after == 0xB0)) | ((here == 0xC9) & (after > 0x8F)) | ((here == ord("<")) & (after == ord("|")))
+        ends = np.flatnonzero(here == ord("\n"))[: len(words)]
+        return (np.diff(np.cumsum(strange)[ends], prepend=0) == 0) & (np.diff(ends, prepend=-1) <= 64)
 
 
 @lru_cache(2)
