@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,28 @@ TRAINING_ROWS = 20_000
 TO_POOLED, TO_DIAGONAL, RIDGE = 0.15, 0.1, 1e-3
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_DROP = {
-    "symbols": dict.fromkeys(map(ord, "#*$%&|<>~^=+_{}[]\\/@")),
-    "marks": dict.fromkeys(map(ord, ".,;:?'\"()-")),
-    "cries": dict.fromkeys(map(ord, "!")),
-    "digits": dict.fromkeys(map(ord, "0123456789")),
-    "bars": dict.fromkeys(map(ord, "|")),
-    "vowels": dict.fromkeys(map(ord, "aeiouAEIOU")),
-}
-FEATURES = ("log_chars", "log_words", "word_length", "word_spread", "distinct", "top_word", "entropy", "short_words", "line_length", "repeated_lines", "repeated_windows", "capitals", "wide", *_DROP)
+#: ASCII characters whose shares are features.
+KINDS = {"symbols": "#*$%&|<>~^=+_{}[]\\/@", "marks": ".,;:?'\"()-", "cries": "!", "digits": "0123456789", "bars": "|", "vowels": "aeiouAEIOU"}
+#: A row for each kind, and one for the capitals: which bytes count.
+_MEMBERS = np.array([[chr(b) in x for b in range(256)] for x in (*KINDS.values(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")], dtype=np.int64)
+FEATURES = ("log_chars", "log_words", "word_length", "word_spread", "distinct", "top_word", "entropy", "short_words", "line_length", "repeated_lines", "repeated_windows", "capitals", "wide", *KINDS)
+
+
+@lru_cache(1)
+def _wide_capitals() -> np.ndarray:
+    """Which code points beyond ASCII change when lower-cased."""
+    return np.fromiter((k > 127 and chr(k).lower() != chr(k) for k in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def features(text: str | None) -> np.ndarray:
-    """The transformed statistics of a whole text; a null or empty one has those of no words."""
+    """The transformed statistics of a whole text; a null or empty one has those of no words.
+
+    Characters are counted by one histogram of the text's UTF-8 bytes; only
+    texts with characters beyond ASCII are looked at by code points too.
+    """
     text = text or ""
+    data = text.encode("utf-8", "surrogatepass")
+    held = _MEMBERS @ np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
     words = WORD.findall(text)
     n, chars = len(words), len(text)
     sizes = np.fromiter(map(len, words), dtype=np.float64, count=n)
@@ -53,10 +62,9 @@ def features(text: str | None) -> np.ndarray:
     rolled = hashes[:windows].copy()
     for k in range(1, 5):
         rolled = rolled * 1_000_003 + hashes[k : k + windows]
-    part = lambda k: np.sqrt((chars - len(text.translate(_DROP[k]))) / max(1, chars))
-    low = text.lower()
-    # U+0130 becomes two characters; then every character is lower-cased by itself.
-    upper = chars - sum(map(str.__eq__, text, low if len(low) == chars else map(str.lower, text))) if not text.islower() else 0
+    upper = int(held[-1])
+    if len(data) > chars:
+        upper += int(_wide_capitals()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].sum())
     return np.array(
         [
             np.log1p(chars),
@@ -71,8 +79,8 @@ def features(text: str | None) -> np.ndarray:
             np.sqrt(1 - len(set(lines)) / max(1, len(lines))),
             np.sqrt(1 - len(np.unique(rolled)) / max(1, windows)),
             np.sqrt(upper / max(1, chars)),
-            np.sqrt((len(text.encode(errors="replace")) - chars) / max(1, chars)),
-            *map(part, _DROP),
+            np.sqrt((len(data) - chars) / max(1, chars)),
+            *np.sqrt(held[:-1] / max(1, chars)),
         ]
     )
 
