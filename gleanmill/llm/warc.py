@@ -1,15 +1,20 @@
 """Operator 5, WARC: a writer of gzip-member archives and a reader that salvages damaged ones.
 
 The writer gives each task its own archives: a ``warcinfo`` record, then one
-record for each row, every record a gzip member of its own. An archive is
-written under a name of the task's attempt and renamed when whole, so a lost
-or repeated task leaves nothing half written under a final name. A payload
-that another record has already is written as a ``revisit``.
+record for each row, every record a gzip member of its own. An archive's name
+holds the attempt of its task and it is renamed when whole, so a lost or
+repeated task leaves nothing half written under a final name, and no attempt
+overwrites another's: only those archives count that the attempt which
+succeeded returned. A payload that another record has already is written as a
+``revisit``.
 
 The reader walks an archive member by member (or, uncompressed, record by
-record). Where a check fails (inflating, gzip checksum, version line, headers,
-length, closing lines, payload digest) it looks for the next place at which a
-valid record starts, goes on there, and logs the bytes between as quarantined.
+record) and streams each record through its checks, so that a record of any
+length takes bounded memory. Where a check fails (inflating, gzip checksum,
+version line, headers, length, closing lines, digests) it looks for the next
+place at which a valid record starts, goes on there, and logs the bytes between
+as quarantined. Members may hold several records; one is returned when the next
+one begins or the member's checksum agrees.
 """
 
 from __future__ import annotations
@@ -29,15 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, table
+from .common import checkpointed, join_groups, remove, shared_dir, table
 
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes of one record beyond which the reader takes it for damaged.
-MAX_RECORD = 1 << 30
+#: Bytes of a record's headers beyond which the reader takes it for damaged: they are held in memory.
+HEAD_BYTES = 16 << 20
+#: Bytes of a payload beyond which it isn't returned, only its length and digest: a Spark value ends at 2 GiB.
+VALUE_BYTES = 1 << 30
 #: A payload of fewer bytes is always written in full.
 LEAST_REVISIT = 0
 BLOCK = 1 << 18
+#: Most tasks over which archives are dealt to be read.
+MOST_TASKS = 50_000
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")  # fixed, so that a repeated task writes the same bytes
 
@@ -94,14 +103,14 @@ def _info(name: str) -> bytes:
 def first_copies(df: DataFrame, key: str, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
     """_key, _digest, _refers_to: for each row of which a row with a smaller key has the payload too, the smallest such key.
 
-    Only keys and digests are shuffled, and a hot payload is one row of each
-    task before its key is found; its rows are then joined with that one row,
-    which adaptive execution may split.
+    Only keys and digests are shuffled. A hot payload is one row of each task
+    before its key is found, and its rows are joined with that one row where
+    they are.
     """
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     slim = df.where(F.length(data) >= least).select(F.col(key).cast("long").alias("_key"), F.sha1(data).alias("_digest"))
-    first = slim.groupBy("_digest").agg(F.min("_key").alias("_refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return slim.join(first, "_digest").where(F.col("_key") > F.col("_refers_to")).select("_key", "_digest", "_refers_to").distinct()
+    first = checkpointed(slim.groupBy("_digest").agg(F.min("_key").alias("_refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return join_groups(slim, first, "_digest", "_n").where(F.col("_key") > F.col("_refers_to")).select("_key", "_digest", "_refers_to").distinct()
 
 
 def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -130,8 +139,8 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
             for at in range(batch.num_rows):
                 page, address, text, refers_to = (c[at].as_py() for c in batch.columns)
                 if out is None:
-                    name = f"part-{task.partitionId():06d}-{number:04d}.warc.gz"
-                    temporary = f"{root}/_{name}.{task.taskAttemptId()}"
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
+                    temporary = f"{root}/_{name}"
                     out, records, size, number = store.open_output_stream(temporary, compression=None), 0, 0, number + 1
                     size += out.write(member(_info(name)))
                 size += out.write(member(page_record(page, address, text.encode(errors="replace"), refers_to)))
@@ -153,30 +162,45 @@ class Damaged(Exception):
 
 @dataclass
 class Record:
+    """A valid record: where it (or its gzip member) lies, its headers, those of its HTTP block, and what its payload comes to."""
+
     start: int
     stop: int
     headers: dict[str, str]
-    block: bytes
-
-    @property
-    def http(self) -> tuple[dict[str, str], bytes]:
-        """The HTTP headers and the payload of an application/http block; other blocks are all payload."""
-        if not self.headers.get("content-type", "").startswith("application/http"):
-            return {}, self.block
-        head, _, body = self.block.partition(b"\r\n\r\n")
-        return _fields(head.split(b"\r\n")[1:]), body
+    http: dict[str, str]
+    payload_bytes: int
+    payload_digest: str
+    payload: bytes | None
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+def _fields(lines: list[bytes], strict: bool) -> dict[str, str]:
+    """Header fields, folded lines joined. Other lines are damage if ``strict``, else passed over."""
+    out, name = {}, ""
     for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] = f"{out[name]} {line.decode('utf-8', 'replace').strip()}".strip()
+            continue
         name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
+        name = name.strip().lower()
+        if colon:
+            out[name] = value.strip()
+        elif strict:
             raise Damaged("header without a colon")
-        out[name.strip().lower()] = value.strip()
+        else:
+            name = ""
     return out
 
 
+def _digest(told: str | None) -> str | None:
+    """A digest header as bare upper-case base32 SHA-1, from base32 or hex; None if it is none."""
+    kind, _, value = (told or "").strip().rpartition(":")
+    if kind.lower() not in ("", "sha1", "sha-1"):
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode()
+    return value.upper() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
 class Source:
     """Random reads of an open file, of any size, by blocks."""
 
@@ -190,7 +214,7 @@ class Source:
         return self.file.read(min(n, self.size - at))
 
     def find(self, mark: bytes, at: int) -> int:
-        """The first place of ``mark`` from ``at`` on, or the file's end."""
+        """The first place of ``mark`` from ``at`` on, or the archive's end."""
         while at < self.size:
             data = self.read(at, BLOCK)
             if (k := data.find(mark)) >= 0:
@@ -199,90 +223,188 @@ class Source:
         return self.size
 
 
-def _parse(head: bytes, start: int) -> tuple[dict[str, str], int]:
-    lines = head.split(b"\r\n")
+class Feed:
+    """The bytes of one gzip member, or of an archive from a place on, as they come."""
+
+    def __init__(self, source: Source, at: int, packed: bool):
+        self.source, self.at, self.start, self.held = source, at, at, b""
+        self.unpacker = zlib.decompressobj(31) if packed else None
+        self.fed, self.broken = False, ""
+
+    @property
+    def place(self) -> int:
+        """Where the next byte lies; within a member, how much of it has been read."""
+        return self.at if self.unpacker else self.at - len(self.held)
+
+    def _more(self) -> bytes:
+        """Further bytes; none at the end of the archive, or of a member whose checksum agrees."""
+        if self.unpacker is None:
+            data = self.source.read(self.at, BLOCK)
+            self.at += len(data)
+            return data
+        while not self.unpacker.eof:
+            if self.broken:
+                raise Damaged(self.broken)
+            raw = self.unpacker.unconsumed_tail
+            if not raw:
+                raw = self.source.read(self.at, BLOCK)
+                self.at += len(raw)
+            if not raw:
+                raise Damaged("member ends early")
+            before = self.unpacker.copy() if self.fed else None
+            try:
+                out = self.unpacker.decompress(raw, BLOCK * 4)
+            except zlib.error as e:
+                self.broken = f"inflating failed: {e}"
+                out = self._until_broken(before or zlib.decompressobj(31), raw)
+            self.fed = True
+            if self.unpacker.eof:
+                self.at -= len(self.unpacker.unused_data)
+            if out:
+                return out
+        return b""
+
+    @staticmethod
+    def _until_broken(unpacker, raw: bytes) -> bytes:
+        """What ``raw`` inflates to before the error in it."""
+        out = []
+        try:
+            for k in range(len(raw)):
+                out.append(unpacker.decompress(raw[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out)
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := self._more()):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.held = self.held[n:]
+        return out
+
+    def head(self) -> bytes:
+        """What comes before the next blank line, which is passed over."""
+        seen = 0
+        while (k := self.held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.held)
+            if seen > HEAD_BYTES or not (more := self._more()):
+                raise Damaged("headers don't end")
+            self.held += more
+        return self.take(k + 4)[:-4]
+
+    def body(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes, in pieces."""
+        while n:
+            if not (piece := self.take(min(n, len(self.held) or 1))):
+                raise Damaged("record ends early")
+            n -= len(piece)
+            yield piece
+
+
+class _Payload:
+    """Length, digest and, if wanted, bytes of what is put in."""
+
+    def __init__(self, wanted: bool):
+        self.size, self.sha, self.parts = 0, hashlib.sha1(), [] if wanted else None
+
+    def add(self, data: bytes) -> None:
+        self.size += len(data)
+        self.sha.update(data)
+        if self.parts is not None:
+            self.parts.append(data)
+            if self.size > VALUE_BYTES:
+                self.parts = None
+
+
+def _read_record(feed: Feed, payloads: bool) -> Record:
+    """The record that begins here; a request's block, and what isn't HTTP, is all payload."""
+    if feed.peek(len(VERSION)) != VERSION:
+        raise Damaged("no version line")
+    lines = feed.head().split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.[0-9]+", lines[0]):
         raise Damaged("no version line")
-    headers = _fields(lines[1:])
-    if not headers.get("content-length", "").isdigit():
+    headers = _fields(lines[1:], strict=True)
+    if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
         raise Damaged("no content length")
-    return headers, int(headers["content-length"])
-
-
-def _verified(record: Record) -> Record:
-    kind, told = record.headers.get("warc-type"), record.headers.get("warc-payload-digest", "")
+    length, kind = int(headers["content-length"]), headers.get("warc-type")
     if not kind:
         raise Damaged("no record type")
-    if kind in ("response", "resource") and told.startswith("sha1:") and payload_digest(record.http[1]) != told[5:]:
+    if feed.unpacker is None and feed.place + length + 4 > feed.source.size:
+        raise Damaged("record ends early")
+    whole, told = _digest(headers.get("warc-block-digest")), _digest(headers.get("warc-payload-digest"))
+    block, payload, http, early = hashlib.sha1(), _Payload(payloads and kind != "revisit"), {}, b""
+    in_head = kind in ("response", "revisit") and headers.get("content-type", "").lower().startswith("application/http")
+    for piece in feed.body(length):
+        if whole:
+            block.update(piece)
+        if not in_head:
+            payload.add(piece)
+            continue
+        seen, early = len(early), early + piece
+        if (k := early.find(b"\r\n\r\n", max(0, seen - 3))) >= 0:
+            http, in_head = _fields(early[:k].split(b"\r\n")[1:], strict=False), False
+            payload.add(early[k + 4 :])
+        elif len(early) > HEAD_BYTES:
+            in_head = False
+            payload.add(early)
+    if in_head and (kind == "revisit" or early.startswith(b"HTTP/")):  # nothing but headers
+        http = _fields(early.split(b"\r\n")[1:], strict=False)
+    elif in_head:
+        payload.add(early)
+    if feed.take(4) != b"\r\n\r\n":
+        raise Damaged("length differs")
+    found = base64.b32encode(payload.sha.digest()).decode()
+    if whole and base64.b32encode(block.digest()).decode() != whole:
+        raise Damaged("block digest differs")
+    # Some writers take the digest of a payload whose transfer coding they have undone.
+    if kind in ("response", "resource") and told and found != told and not whole and "transfer-encoding" not in http:
         raise Damaged("payload digest differs")
-    return record
-
+    size = payload.size
+    if kind == "revisit":
+        size, found = int(m[0]) if (m := re.fullmatch(r"[0-9]{1,18}", http.get("content-length", ""))) else 0, told or ""
+    return Record(feed.start, 0, headers, http, size, found, b"".join(payload.parts) if payload.parts is not None else None)
+
+
+def _records(feed: Feed, payloads: bool) -> Iterator[Record]:
+    """The records of a member, or uncompressed ones up to the next member."""
+    while True:
+        if feed.unpacker is None:
+            feed.start = feed.place
+        record = _read_record(feed, payloads)
+        after = feed.peek(len(MAGIC))  # for a member's last record this checks the member
+        record.stop = feed.place
+        yield record
+        if not after or feed.unpacker is None and after == MAGIC:
+            return
 
-def _read_member(source: Source, at: int) -> Record:
-    unpacker, data, pos, size = zlib.decompressobj(31), [], at, 0
-    while not unpacker.eof:
-        raw = source.read(pos, BLOCK)
-        if not raw:
-            raise Damaged("member ends early")
-        try:
-            while raw and not unpacker.eof:
-                data.append(unpacker.decompress(raw, BLOCK * 4))
-                size += len(data[-1])
-                if size > MAX_RECORD:
-                    raise Damaged("record too long")
-                pos += len(raw) - len(unpacker.unconsumed_tail) - len(unpacker.unused_data)
-                raw = unpacker.unconsumed_tail
-        except zlib.error as e:
-            raise Damaged(f"inflating failed: {e}") from None
-    whole = b"".join(data)
-    head, blank, rest = whole.partition(b"\r\n\r\n")
-    if not blank:
-        raise Damaged("headers don't end")
-    headers, length = _parse(head, at)
-    if rest[length:] != b"\r\n\r\n":
-        raise Damaged("length differs")
-    return _verified(Record(at, pos, headers, rest[:length]))
-
-
-def _read_plain(source: Source, at: int) -> Record:
-    head, step = b"", 4096
-    while b"\r\n\r\n" not in head:
-        more = source.read(at + len(head), step)
-        if not more or len(head) > 1 << 20:
-            raise Damaged("headers don't end")
-        head += more
-        if not head.startswith(VERSION[: len(head)]):
-            raise Damaged("no version line")
-    head = head.partition(b"\r\n\r\n")[0]
-    headers, length = _parse(head, at)
-    if length > MAX_RECORD:
-        raise Damaged("record too long")
-    rest = source.read(at + len(head) + 4, length + 4)
-    if rest[length:] != b"\r\n\r\n":
-        raise Damaged("length differs")
-    return _verified(Record(at, at + len(head) + 4 + length + 4, headers, rest[:length]))
 
+def read_archive(source: Source, payloads: bool = False) -> Iterator[Record | tuple[int, int, str]]:
+    """Records in order, and (start, stop, reason) of every stretch of bytes with no valid record.
 
-def read_archive(source: Source) -> Iterator[Record | tuple[int, int, str]]:
-    """Records in order, and (start, stop, reason) of every stretch of bytes that is no valid record."""
-    at = 0
+    A damaged member of several records is such a stretch, from its start,
+    though those before the damage are returned.
+    """
+    at, gap, marks = 0, None, {MAGIC: -1, VERSION: -1}
     while at < source.size:
-        packed = source.read(at, 3) == MAGIC
+        feed = Feed(source, at, source.read(at, len(MAGIC)) == MAGIC)
         try:
-            record = _read_member(source, at) if packed else _read_plain(source, at)
+            for record in _records(feed, payloads):
+                if gap:
+                    yield gap[0], record.start, gap[1]
+                    gap = None
+                yield record
+            at = feed.place
         except Damaged as e:
-            begin, reason, record, look = at, str(e), None, at + 1
-            marks = {m: source.find(m, look) for m in (MAGIC, VERSION)}
-            while record is None and (look := min(marks.values())) < source.size:
-                try:
-                    record = _read_member(source, look) if marks[MAGIC] == look else _read_plain(source, look)
-                except Damaged:
-                    marks = {m: source.find(m, look + 1) if k == look else k for m, k in marks.items()}
-            yield begin, record.start if record else source.size, reason
-            if record is None:
-                return
-        yield record
-        at = record.stop
+            gap = gap or (feed.start, str(e))
+            for mark, place in marks.items():
+                if place <= feed.start:
+                    marks[mark] = source.find(mark, feed.start + 1)
+            at = min(marks.values())
+    if gap:
+        yield gap[0], source.size, gap[1]
 
 
 SCHEMA = "path string, start long, stop long, damage string, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
@@ -291,42 +413,52 @@ SCHEMA = "path string, start long, stop long, damage string, record_type string,
 def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:
     """All records of the archives in ``paths.path``, and their quarantined gaps (rows with ``damage``).
 
-    A task reads an archive as a stream, a record in memory at a time.
-    ``payload_bytes`` and ``payload_digest`` are those of the full payload, for
-    revisits as their headers tell. ``warcinfo`` records are passed over.
+    Archives are dealt over as many tasks as there are of them (``MOST_TASKS``
+    at most); each is read as a stream. ``payload_bytes`` and
+    ``payload_digest`` are those of the full payload, for revisits as their
+    headers tell. ``warcinfo`` records are passed over. ``page_id`` and
+    ``refers_to`` are null unless the record's names are this writer's.
     """
+    kinds = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("damage", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("damage", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         rows, held = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, place = pafs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as file:
-                    for x in read_archive(Source(file)):
+                    for x in read_archive(Source(file), payloads):
                         if isinstance(x, tuple):
-                            rows.append((path, x[0], x[1], x[2], *[None] * 7))
+                            rows.append((path, *x, *[None] * 7))
                         elif (kind := x.headers["warc-type"]) != "warcinfo":
-                            http, payload = x.http
-                            full = kind != "revisit"
-                            size = len(payload) if full else int(http.get("content-length", 0))
-                            digest = payload_digest(payload) if full else x.headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                            rows.append((path, x.start, x.stop, None, kind, _key(x.headers.get("warc-record-id")), _key(x.headers.get("warc-refers-to")), x.headers.get("warc-target-uri"), size, digest, payload if payloads and full else None))
-                            held += len(rows[-1][-1] or b"") + 200
+                            rows.append((path, x.start, x.stop, None, kind, _key(x.headers.get("warc-record-id")), _key(x.headers.get("warc-refers-to")), x.headers.get("warc-target-uri"), x.payload_bytes, x.payload_digest, x.payload))
+                            held += len(x.payload or b"") + 200
                         if held > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                            yield batch_of(rows)
                             rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+            yield batch_of(rows)
 
-    return paths.select("path").repartition("path").mapInArrow(read, SCHEMA)
+    tasks = min(MOST_TASKS, max(1, paths.count()))
+    return paths.select("path").repartition(tasks, "path").mapInArrow(read, SCHEMA)
 
 
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of ``pages``, from archives written and read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of ``pages``, from archives written and read back.
+
+    A quarantined stretch in an archive just written is an error. The archives
+    go when the result has been checkpointed.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    archives = write_archives(pages, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
-    return read_archives(archives).where("damage IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    found = read_archives(write_archives(pages, folder))
+    whole = F.when(F.col("damage").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat_ws(" ", "path", "start", "damage")).cast("long"))
+    result = checkpointed(found.select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, folder)
+    return result
 
 
 ORACLE_SQL = """

@@ -267,8 +267,90 @@ def test_salvage(packed):
 
 def test_foreign_members_are_read():
     data = gzip.compress(warc.record_bytes([("WARC-Type", "metadata"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "d")], b"any\r\n\r\nthing"))
-    record = next(warc.read_archive(source(data)))
-    assert record.block == b"any\r\n\r\nthing"
+    record = next(warc.read_archive(source(data), payloads=True))
+    assert record.payload == b"any\r\n\r\nthing" and record.payload_bytes == 12
+
+
+def foreign(kind, block, *more, content_type="application/http"):
+    return warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}>"), ("Content-Type", content_type), *more], block)
+
+
+HTML = b"HTTP/1.1 200 OK\r\nX: 1\r\n folded\r\n\r\n<p>page"
+FOREIGN = {
+    "folded": foreign("response", HTML).replace(b"<urn:response>", b"<urn:\r\n\tresponse>"),
+    "hex": foreign("response", HTML, ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(b'<p>page').hexdigest()}")),
+    "lower": foreign("response", HTML, ("WARC-Payload-Digest", f"SHA1:{warc.payload_digest(b'<p>page').lower()}"), ("WARC-Block-Digest", f"sha1:{warc.payload_digest(HTML)}")),
+    "case": foreign("response", HTML, content_type="Application/HTTP; msgtype=response"),
+    "request": foreign("request", b"GET / HTTP/1.1\r\nno colon here\r\n\r\n"),
+    "lenient": foreign("response", b"HTTP/1.1 200 OK\r\nno colon here\r\n\r\n<p>page"),
+    "number": foreign("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n"),
+    "other digest": foreign("response", HTML, ("WARC-Payload-Digest", "md5:0123")),
+    "chunked": foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n", ("WARC-Payload-Digest", f"sha1:{warc.payload_digest(b'abc')}")),
+    "long head": foreign("response", HTML, ("X-Long", "y" * (3 << 20))),
+    "no head": foreign("response", b"plain words"),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+@pytest.mark.parametrize("packed", [True, False])
+def test_foreign_records_are_read(name, packed):
+    data = warc.member(FOREIGN[name]) if packed else FOREIGN[name]
+    (record,) = warc.read_archive(source(data), payloads=True)
+    assert (record.start, record.stop) == (0, len(data))
+    if record.headers["warc-type"] == "response" and name not in ("chunked", "no head"):
+        assert record.payload == b"<p>page" and record.payload_digest == warc.payload_digest(b"<p>page")
+    if name == "folded":
+        assert record.headers["warc-record-id"] == "<urn: response>" and record.http["x"] == "1 folded"
+    if name == "no head":
+        assert record.payload == b"plain words"
+
+
+def test_all_records_of_a_member_are_read():
+    records = [warc.page_record(k, "u", bytes([65 + k]) * 9000, None) for k in range(4)]
+    data = warc.member(b"".join(records)) + warc.member(records[0])
+    names = [warc.record_id(k) for k in (0, 1, 2, 3, 0)]
+    assert read(data) == (names, [])
+    ids, gaps = read(data[: len(warc.member(b"".join(records))) - 4] + warc.member(records[0]))  # its checksum is cut
+    assert ids == names[:3] + names[4:] and gaps[0][0] == 0
+    mixed = records[0] + warc.member(records[1] + records[2]) + records[3]
+    assert read(mixed) == (names[:4], [])
+
+
+def test_false_lengths_and_wrong_digests_are_damage():
+    record = warc.page_record(1, "u", b"payload", None)
+    good = warc.page_record(2, "u", b"other", None)
+    long = re.sub(rb"Content-Length: [0-9]+\r\n\r\nHTTP", b"Content-Length: 9999999999999\r\n\r\nHTTP", record)
+    other = record.replace(b"\r\n\r\npayload", b"\r\n\r\nPayload")
+    for bad in (long, other, record.replace(b"WARC-Type", b"WARC-Kind"), foreign("resource", b"x", ("WARC-Block-Digest", f"sha1:{warc.payload_digest(b'y')}"))):
+        assert bad != record
+        for data in (bad + good, warc.member(bad) + warc.member(good)):
+            ids, gaps = read(data)
+            assert ids == [warc.record_id(2)] and [g[:2] for g in gaps] == [(0, len(data) - len(good if data.endswith(good) else warc.member(good)))]
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.md5(F.col("id").cast("string")).alias("html")).repartition(4)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=2_000)
+    many = archives.count()
+    names = [r["path"] for r in archives.collect()]
+    assert many > 20 and len(set(names)) == many
+    got = warc.read_archives(archives)
+    assert got.count() == 400 and got.where("damage IS NOT NULL").count() == 0
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > many // 4
+    stray = tmp_path / "w" / "part-000000-99999-0000.warc.gz"  # what a lost attempt left is not read
+    stray.write_bytes(warc.member(warc.page_record(7, "u", b"x", None)))
+    assert warc.read_archives(archives).count() == 400
+
+
+def test_warc_query_leaves_no_archives(spark, as_table):
+    import glob
+
+    from gleanmill.llm.common import shared_dir
+
+    pages = spark.createDataFrame([(k, "u", "same" if k % 3 else str(k)) for k in range(30)], "page_id long, url string, html string")
+    got = warc.op5_warc_roundtrip(spark, as_table(pages, "pages")).collect()
+    assert len(got) == 30 and {r["refers_to"] for r in got} == {None, 1}
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file:')}/warc-*")
 
 
 # exact dedup
