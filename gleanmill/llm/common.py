@@ -42,6 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it needs not to be ``taken``."""
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder, whatever store it is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
