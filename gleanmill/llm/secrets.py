@@ -18,11 +18,12 @@ import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, join_groups, key_ranges, table
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,9 @@ RULES = (
     Rule("hex", r"([0-9a-f]{24,})", 1, 24),
 )
 EMPTY = "array<struct<kind:int,start:long,end:long>>"
+_HITS = "array<struct<kind:int,i:int,gap:long,whole:long,ok:boolean>>"
+#: Loads in which a table is put into a ledger, and buckets of its table; at 100 TB use several thousand.
+BATCHES, BUCKETS = 2, 16
 
 
 def rule_version(rules: Sequence[Rule]) -> str:
@@ -64,18 +68,15 @@ def _lengths(text: Column, rule: Rule, k: int) -> Column:
     group = sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group)), "group")
     found = F.filter(F.arrays_zip(gaps, whole, group), lambda x: x["whole"].isNotNull())
     rows = F.transform(found, lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["whole"].alias("whole"), (x["group"] >= rule.least).alias("ok")))
-    return F.when(text.rlike(rule.pattern), rows).otherwise(F.expr("array()").cast("array<struct<kind:int,i:int,gap:long,whole:long,ok:boolean>>"))
+    return F.when(text.rlike(rule.pattern), rows).otherwise(F.expr("array()").cast(_HITS))
 
 
-def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """blob, findings array<struct<kind int, start long, end long>> for rows (blob, text) with distinct blobs.
+def _hits(text: Column, rules: Sequence[Rule]) -> Column:
+    return F.flatten(F.array(*[_lengths(text, r, k) for k, r in enumerate(rules)])).alias("hits")
 
-    ``kind`` is a rule's place in ``rules``; findings are sorted by start, then
-    kind, and hold code points, end exclusive. Texts without findings get an
-    empty array.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hits = checkpointed(blobs.select("blob", F.flatten(F.array(*[_lengths(text, r, k) for k, r in enumerate(rules)])).alias("hits")))
+
+def _findings(hits: DataFrame) -> DataFrame:
+    """blob, findings for every row of ``hits`` (blob, hits), a written table."""
     each = hits.where(F.size("hits") > 0).select("blob", F.explode("hits").alias("h")).select("blob", "h.*")
     so_far = Window.partitionBy("blob", "kind").orderBy("i")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("whole")).over(so_far)).where("ok")
@@ -84,18 +85,21 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return hits.select("blob").join(spans.select("blob", findings.alias("findings")), "blob", "left").select("blob", F.coalesce("findings", F.expr("array()").cast(EMPTY)).alias("findings"))
 
 
-def with_findings(versions: DataFrame, found: DataFrame, text: str, name: str = "findings") -> DataFrame:
-    """``versions`` with column ``name`` appended (or replaced) from ``found`` (blob, findings): a row for each blob that has any."""
-    rows = versions.withColumn("_blob", blob_of(F.col(text)))
-    found = found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    return rows.join(found, "_blob", "left").select(*[c for c in versions.columns if c != name], F.coalesce("_found", F.expr("array()").cast(EMPTY)).alias(name))
+def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """blob, findings array<struct<kind int, start long, end long>> for rows (blob, text) with distinct blobs.
+
+    ``kind`` is a rule's place in ``rules``; findings are sorted by start, then
+    kind, and hold code points, end exclusive. Texts without findings get an
+    empty array.
+    """
+    return _findings(checkpointed(blobs.select("blob", _hits(F.coalesce(F.col("text"), F.lit("")), rules))))
 
 
 class BlobLedger:
-    """The ledger in the warehouse, by table name: blob, rule_version, findings."""
+    """The ledger in the warehouse, by table name: blob, rule_version, findings; bucketed and sorted by blob."""
 
-    def __init__(self, spark: SparkSession, name: str, rules: Sequence[Rule] = RULES):
-        self.spark, self.name, self.rules, self.version = spark, name, tuple(rules), rule_version(rules)
+    def __init__(self, spark: SparkSession, name: str, rules: Sequence[Rule] = RULES, buckets: int = BUCKETS):
+        self.spark, self.name, self.rules, self.version, self.buckets = spark, name, tuple(rules), rule_version(rules), buckets
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -104,29 +108,49 @@ class BlobLedger:
         """blob, findings under the current rule version."""
         return self.spark.table(self.name).where(F.col("rule_version") == self.version).select("blob", "findings")
 
-    def ingest(self, versions: DataFrame, text: str = "text") -> None:
-        """Scans the blobs among the rows of ``versions`` that this rule version hasn't seen.
+    def ingest(self, versions: DataFrame, text: str = "text") -> DataFrame:
+        """Scans the blobs among the rows of ``versions`` that this rule version hasn't seen; returns blob, n (its rows) for all of them.
 
         Copies collapse within each task before the shuffle, so a hot text
-        travels once for each task. A repeated run finds its blobs scanned.
+        travels once for each task. Blobs meet the ledger before their texts
+        are looked at. A repeated run finds its blobs scanned.
         """
         rows = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        pending = rows.groupBy("blob").agg(F.first("text").alias("text"))
-        if self.exists():
-            pending = pending.join(self.scanned().select("blob"), "blob", "left_anti")
-        new = scan_blobs(pending, self.rules).select("blob", F.lit(self.version).alias("rule_version"), "findings")
-        if self.exists():
-            new = checkpointed(new)
-        new.write.mode("append").format("parquet").saveAsTable(self.name)
-
-    def findings(self, versions: DataFrame, text: str = "text") -> DataFrame:
-        """The rows of ``versions`` with ``findings`` appended; all blobs must have been ingested."""
-        return with_findings(versions, self.scanned().where(F.size("findings") > 0), text)
+        blobs = rows.groupBy("blob").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        known = self.scanned().select("blob", F.lit(True).alias("known")) if self.exists() else None
+        # An outer join, since an anti-join would be pushed below the aggregate, to all rows.
+        blobs = blobs.withColumn("known", F.lit(None).cast("boolean")) if known is None else blobs.join(known, "blob", "left")
+        hits = F.when(F.col("known").isNull(), _hits(F.col("text"), self.rules)).otherwise(F.expr("array()").cast(_HITS))
+        found = checkpointed(blobs.select("blob", "n", F.col("known").isNotNull().alias("known"), hits.alias("hits")))
+        new = _findings(found.where("NOT known").select("blob", "hits")).select("blob", F.lit(self.version).alias("rule_version"), "findings")
+        dealt = new.repartition(self.buckets, "blob")
+        dealt.write.mode("append").bucketBy(self.buckets, "blob").sortBy("blob").format("parquet").saveAsTable(self.name)
+        return found.select("blob", "n")
+
+    def groups(self, counts: list[DataFrame]) -> DataFrame:
+        """blob, n, findings (null for none) of the blobs that ``ingest`` returned, as a checkpoint."""
+        n = reduce(DataFrame.union, counts).groupBy("blob").agg(F.sum("n").alias("n"))
+        return checkpointed(n.join(self.scanned().where(F.size("findings") > 0), "blob", "left"))
+
+    def findings(self, versions: DataFrame, text: str = "text", name: str = "findings") -> DataFrame:
+        """The rows of ``versions`` with column ``name`` appended (or replaced); blobs that were never ingested have none."""
+        counts = versions.select(blob_of(F.col(text)).alias("blob")).groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+        return with_findings(versions, self.groups([counts]), text, name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def with_findings(versions: DataFrame, groups: DataFrame, text: str = "text", name: str = "findings") -> DataFrame:
+    """``versions`` with column ``name`` appended (or replaced) from ``groups`` (blob, n, findings), a checkpoint with a row for each blob.
+
+    Rows of a hot blob find its findings where they are.
+    """
+    rows = versions.select(F.struct("*").alias("row"), blob_of(F.col(text)).alias("blob"))
+    joined = join_groups(rows, groups, "blob", "n")
+    return joined.select(*[F.col("row")[c].alias(c) for c in versions.columns if c != name], F.coalesce("findings", F.expr("array()").cast(EMPTY)).alias(name))
+
+
 def spans_text(findings: Column, rules: Sequence[Rule] = RULES, only: int | None = None) -> Column:
     """``kind:start:end`` of the findings (of the first ``only`` rules), comma-joined."""
     names = F.array(*[F.lit(r.kind) for r in rules])
@@ -147,15 +171,18 @@ def redacted(text: Column, findings: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(findings) > 0, whole).otherwise(text)
 
 
-def scan_table(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, name: str = "findings") -> DataFrame:
-    """``df`` with column ``name`` appended (or replaced), by a ledger made for this call; of it only the blobs with findings are kept."""
+def scan_table(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, name: str = "findings", batches: int = BATCHES) -> DataFrame:
+    """``df`` with column ``name`` appended (or replaced), by a ledger made for this call.
+
+    The table goes into the ledger in ``batches`` loads, by ranges of ``key``; the
+    later ones scan only blobs that the earlier ones haven't.
+    """
     ledger = BlobLedger(df.sparkSession, f"blobs_{uuid.uuid4().hex}", rules)
     try:
-        ledger.ingest(df, text)
-        found = checkpointed(ledger.scanned().where(F.size("findings") > 0))
+        groups = ledger.groups([ledger.ingest(df.where(part), text) for part in key_ranges(df, key, batches)])
     finally:
         ledger.drop()
-    return with_findings(df, found, text, name)
+    return with_findings(df, groups, text, name)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,24 +190,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null texts count as empty and have no spans; repeated rows each get their
     row; an empty table gives none. The findings come from a ledger made for
-    this call, which goes when the result has been checkpointed.
+    this call, filled in ``BATCHES`` loads.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    slim = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     ledger = BlobLedger(spark, f"blobs_{uuid.uuid4().hex}")
     try:
-        ledger.ingest(docs)
-        found = F.col("findings")
-        count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
-        return checkpointed(
-            ledger.findings(docs).select(
-                "doc_id",
-                *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(RULES)],
-                F.sha2(spans_text(found, only=len(RULES)).cast("binary"), 256).alias("base_sha256"),
-                spans_text(found).alias("spans"),
-            )
-        )
+        groups = ledger.groups([ledger.ingest(docs.where(part)) for part in key_ranges(docs, "doc_id", BATCHES)])
     finally:
         ledger.drop()
+    found = F.coalesce("findings", F.expr("array()").cast(EMPTY))
+    count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
+    return join_groups(slim, groups, "blob", "n").select(
+        "doc_id",
+        *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(RULES)],
+        F.sha2(spans_text(found, only=len(RULES)).cast("binary"), 256).alias("base_sha256"),
+        spans_text(found).alias("spans"),
+    )
 
 
 _KINDS = " UNION ALL ".join(
