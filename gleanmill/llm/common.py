@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, remove  # noqa: F401
+from ..sources.shared import shared_root as shared_dir  # noqa: F401
+
 #: The 52 letters of the only case folding that exact matching uses.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,30 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local session without that setting gets a temporary folder; a
-    cluster without it is an error, as executors would not see such a folder.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleanmill-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later plans start from those files.
-
-    Spark deletes the files when nothing refers to them any more, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as a table to a folder of the shared one, and read from there."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -49,12 +30,6 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder, whatever store it is in."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores by a hash of ``keys``, for what follows makes much of few bytes; adaptive execution leaves a stated number of partitions."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ no link is lost. Equal fingerprints are one row before any of this.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, table
+from .common import checkpointed, join_groups, remove, shared_dir, spread, table, written
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints that one variant may have for their pairs to be joined; more go to the second index.
@@ -97,31 +98,40 @@ def links(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     return twos.union(pairs).union(stars).distinct()
 
 
+def _relinked(all_: DataFrame, some: DataFrame, folder: str, own: bool = False) -> DataFrame:
+    """Edges (v, m) for the edges (u, v) of ``some``, with m the least of u and its neighbours in ``all_``; with ``own`` also (u, m). A node of very many edges finds its m where they are."""
+    least = checkpointed(all_.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+    moved = join_groups(some, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return written((moved.union(least.select("u", F.col("m").alias("v"))) if own else moved).where("u <> v").distinct(), folder)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for all nodes of ``edges`` (a, b): the least node that can be reached.
+    """node, root for all nodes of ``edges`` (a, b), as a checkpoint: the least node that can be reached.
 
     Alternates two star operations (Kiveris et al. 2014): first every node
     links its larger neighbours to its least one, then its smaller ones; this
     ends after a few rounds, about the logarithm of the longest chain. Every
-    round is checkpointed; no edges come to the driver but their number and a
-    checksum.
+    round is written as a table: a checkpoint would keep the planner's guess of
+    its size, which each round's joins multiply. No edges come to the driver but
+    their number and a checksum.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{folder}/0")
     check = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = check(edges)
+    before, k = check(edges), 0
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(edges)
+        edges = _relinked(both, both.where("v > u"), f"{folder}/{k + 1}")
+        edges = _relinked(edges, edges, f"{folder}/{k + 2}", own=True)
+        k += 2
         if (now := check(edges)) == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    found = checkpointed(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+    remove(spark, folder)
+    return found
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
@@ -132,23 +142,25 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     null texts share fingerprint 0 and are linked. An empty table gives no rows.
     """
     rows = checkpointed(fingerprints(df, key, text, words, seed))
-    found = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = checkpointed(components(links(found.select("fp"), bits)).withColumnRenamed("node", "fp"))
-    linked = nodes.join(found, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = linked.join(least, "root").select("fp", F.col("component_id").alias("_c"))
-    by_fp = found.join(member, "fp", "left").select("fp", F.coalesce("_c", "least").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    # Spread, since each of these small rows becomes 64 variants.
+    found = checkpointed(spread(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fp"))
+    nodes = components(links(found.select("fp"), bits)).withColumnRenamed("node", "fp")
+    linked = checkpointed(nodes.join(found, "fp").select("fp", "root", "least"))
+    least = checkpointed(linked.groupBy("root").agg(F.min("least").alias("_c"), F.count(F.lit(1)).alias("_n")))
+    member = join_groups(linked.select("fp", "root"), least, "root", "_n").select("fp", "_c")
+    by_fp = checkpointed(found.join(member, "fp", "left").select("fp", "n", F.coalesce("_c", "least").alias("component_id")))
+    return join_groups(rows, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
     """One row of each group, all columns unchanged: that of the least key; one with a null key only where the group has no other."""
     # The key is marked so that null is apart from all others; a digest of the text tells rows of one key apart.
-    marked = df.withColumns({"_k": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")), "_d": F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))})
-    groups = near_groups(marked, "_d", text, words, seed, bits).select(F.col("doc_id").alias("_d"), "component_id").distinct()
-    rows = marked.select(F.col(key).alias("key"), "_k", "_d").join(groups, "_d")
-    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "_k", "_d")).alias("r")).select("r._k", "r._d")
-    return marked.join(kept, ["_k", "_d"], "left_semi").dropDuplicates(["_k", "_d"]).select(*df.columns)
+    mark, digest = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")), F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))
+    marked = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("k"), digest.alias("d"))
+    groups = near_groups(marked, "d", "text", words, seed, bits).select(F.col("doc_id").alias("d"), "component_id").distinct()
+    rows = marked.select("key", "k", "d").join(groups, "d")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "k", "d")).alias("r")).select("r.k", "r.d")
+    return marked.join(kept, ["k", "d"], "left_semi").dropDuplicates(["k", "d"]).select("row.*")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
