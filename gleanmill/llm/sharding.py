@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: Slots of the production table, a prime; the broadcast has this many rows.
 TABLE_SIZE = 65_537
@@ -77,23 +77,26 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, size:
     """``df`` with columns ``slot`` and ``shard`` appended.
 
     Every row is kept, repeated ones too, and equal keys meet in one shard; null
-    keys share a slot. An empty table stays empty. ``df`` must not have columns
-    of the appended names already: project or rename them first.
+    keys share a slot. An empty table stays empty. Columns of ``df`` that have
+    the appended names already are replaced.
     """
     spark = df.sparkSession
     owner = lookup_table(shards, size, weights)
     slots = spark.createDataFrame([(k, shards[o]) for k, o in enumerate(owner.tolist())], "slot int, shard string")
-    return df.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(slots), "slot").select(*df.columns, "slot", "shard")
+    rows = df.select(F.struct("*").alias("row"), slot_of(F.col(key), size).alias("slot")).join(F.broadcast(slots), "slot")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in ("slot", "shard")], "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE, splits: int = 8) -> None:
     """Writes ``df`` as Parquet, a folder for each shard.
 
-    Rows are dealt by slot, up to ``splits`` tasks for a shard, so that a shard
+    Rows are dealt by their values, over up to ``splits`` tasks for a shard, so that a shard
     holding a hot key's rows is written by several tasks.
     """
-    placed = assign_shards(df, key, shards, size).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(splits)))
-    placed.repartition("shard", "_part").drop("_part", "slot").write.partitionBy("shard").parquet(path)
+    placed = assign_shards(df, key, shards, size)
+    part = free_name("part", placed.columns)
+    dealt = F.pmod(F.xxhash64(*[F.col(c).cast("string") if "map<" in t else F.col(c) for c, t in placed.dtypes]), F.lit(splits))
+    placed.withColumn(part, dealt).repartition("shard", part).drop(part, "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
