@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     share = min(1.0, rows / max(1, usable.count()))
     if share < 1:
         usable = usable.where(F.pmod(F.xxhash64(F.col("_key"), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    joined = docs.join(F.broadcast(usable), F.col(key) == F.col("_key")).select(F.col(text).alias("text"), "_y")
+    joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(usable), "_key").select("text", "_y")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
