@@ -16,23 +16,23 @@ from .text import let
 #: Separators and words of the accepted formats.
 _DATE = r"(?:(\d{2,4})[ \-/年]|(?! \d{2}[\-/] ?\d{1,2}[\-/] ?\d)) ?(\d{1,2})[ \-/月] ?(\d{1,2})[ \-/日号]?"
 _TIME = r"([0-9]{1,2})[:时点] ?(?:([0-9]{1,2})(?: ?(?::|分钟|分) ?([0-9]{1,2})(?:秒钟|秒)?)?)?"
-_AGO = r" *(?:之前|前|ago)"
-_RELATIVE = (
-    r"(?i)(\d{1,2})(?: ?年| ?years)" + _AGO
-    + r"|(\d{1,2})(?: ?天| ?日| ?days| ?day)" + _AGO
-    + r"|(\d{1,2})(?: ?小时| ?时| ?hours)" + _AGO
-    + r"|(\d{1,2})(?: ?分钟| ?分| minutes)" + _AGO
-    + r"|(\d{1,2})(?: ?秒钟| ?秒| ?seconds)" + _AGO
-    + r"|昨天 ?(\d{1,2}):(\d{1,2})"
-)
+#: Units of a time ago, each with its seconds, what it adds to the accuracy, and its words (``minutes`` must follow a space). A year has 365 days.
+UNITS = (
+    (365 * 86_400, 10, ("年", "years")),
+    (86_400, 0, ("天", "日", "days", "day")),
+    (3_600, 10, ("小时", "时", "hours")),
+    (60, 20, ("分钟", "分", "minutes")),
+    (1, 30, ("秒钟", "秒", "seconds")),
+)
+AGO, YESTERDAY = ("之前", "前", "ago"), "昨天"
+_WORDS = "|".join(rf"(?<=\s){w}" if w == "minutes" else w for _, _, words in UNITS for w in words)
+_RELATIVE = rf"(?i)(\d{{1,2}}) ?({_WORDS}) *(?:{'|'.join(AGO)})|{YESTERDAY} ?(\d{{1,2}}):(\d{{1,2}})"
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _ENGLISH = "(" + "|".join(_MONTHS) + r").*?(\d{1,2})(?!\d)(?:\D+(\d{4}|\d{2})(?!\d))?"
 #: Characters that may stand around a date where a separator is asked for.
 _SEPARATORS = r"[ ,\t\r\n\-—;；，:：]"
 #: Texts of this many bytes or more are searched in windows of as many characters at both ends.
 WINDOW = 100
-#: Seconds in a day, and days that a "year ago" has.
-_DAY, _YEAR_DAYS = 86_400, 365
 
 RESULT = "struct<accuracy:int,ts:timestamp,beg:int,end:int>"
 
@@ -81,7 +81,7 @@ def absolute_date(text: Column, as_of: Column) -> Column:
             F.coalesce(year, F.year(as_of)), F.coalesce(d["month"], F.month(as_of)), F.coalesce(d["day"], F.day(as_of)),
             F.coalesce(t["hour"], F.greatest(F.hour(as_of) - 2, F.lit(0))), F.coalesce(t["minute"], F.minute(as_of)), F.coalesce(t["second"], F.second(as_of)).cast("decimal(8,6)"),
         )
-        yesterday = (F.instr(text, "昨天") > 0) & d["year"].isNull()
+        yesterday = (F.instr(text, YESTERDAY) > 0) & d["year"].isNull()
         moved = F.when(yesterday, ts - F.expr("INTERVAL 1 DAY")).otherwise(ts)
         beg = F.when(d["end"] > 0, d["beg"]).otherwise(t["beg"])
         end = F.when(t["end"] > 0, d["end"] + t["end"]).otherwise(d["end"])
@@ -96,11 +96,12 @@ def relative_date(text: Column, as_of: Column) -> Column:
     def result(head: Column) -> Column:
         """``head``: the text up to the end of its first such phrase."""
         found = F.regexp_extract(head, "(?:" + _RELATIVE + r")\z", 0)
-        years, days, hours, minutes, seconds, at_hour, at_minute = (_number(F.nullif(F.regexp_extract(found, _RELATIVE, k), F.lit(""))) for k in range(1, 8))
-        ago = F.coalesce(years * (_YEAR_DAYS * _DAY), days * _DAY, hours * 3600, minutes * 60, seconds)
+        count, word, at_hour, at_minute = (F.nullif(F.regexp_extract(found, _RELATIVE, k), F.lit("")) for k in range(1, 5))
+        of_word = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for unit in UNITS for w in unit[2] for x in (w, unit[k])]), F.lower(word))
+        ago = _number(count) * of_word(0)
         day = F.date_sub(F.to_date(as_of), 1)
-        at = F.try_make_timestamp(F.year(day), F.month(day), F.day(day), at_hour, at_minute, F.lit(0).cast("decimal(8,6)"))
-        more = F.when(years.isNotNull(), 10).when(hours.isNotNull(), 10).when(minutes.isNotNull(), 20).when(seconds.isNotNull(), 30).when(at_hour.isNotNull(), 20).otherwise(0)
+        at = F.try_make_timestamp(F.year(day), F.month(day), F.day(day), _number(at_hour), _number(at_minute), F.lit(0).cast("decimal(8,6)"))
+        more = F.coalesce(of_word(1), F.lit(20))
         end = F.length(head)
         return let(F.coalesce(F.timestamp_seconds(F.unix_timestamp(as_of) - ago), at), lambda ts: F.when(ts <= as_of, _result(30 + more, ts, end - F.length(found), end)))
 

@@ -58,6 +58,16 @@ def decode_body(body: Column) -> Column:
     return _decode(body, declared_charset(F.decode(body, "ISO-8859-1")))
 
 
+def encode_body(page: Column, charset: str) -> Column:
+    """A page's text as bytes in ``charset``; characters that it lacks are dropped."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encoded(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda s: None if s is None else s.encode(charset, "ignore"))
+
+    return encoded(page)
+
+
 @F.pandas_udf(T.StringType())
 def unescape(rows: pd.Series) -> pd.Series:
     """HTML entities as characters."""

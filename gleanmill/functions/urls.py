@@ -33,6 +33,29 @@ def encode_keyword(keyword: Column, site: Column | None = None, charset: str = "
     return quoted(whole)
 
 
+def charset_name(encode_type: Column) -> Column:
+    """A charset setting as one name for each charset; none counts as utf-8."""
+    name = F.regexp_replace(F.lower(F.coalesce(encode_type, F.lit(""))), "[-_ ]", "")
+    return F.when(name.isin("", "utf8"), "utf-8").otherwise(name)
+
+
+def encode_as(words: Column, charset: Column) -> Column:
+    """``words`` form-encoded in the charset of a column of ``charset_name``; characters that it lacks are dropped, null for an unknown charset. UTF-8 stays in the JVM."""
+
+    @F.pandas_udf("string")
+    def quoted(rows: pd.Series, charsets: pd.Series) -> pd.Series:
+        out = []
+        for s, c in zip(rows, charsets, strict=True):
+            try:
+                out.append(None if s is None else urllib.parse.quote_plus(s.encode(c, "ignore"), safe="").replace("~", "%7E"))
+            except LookupError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    other = charset != "utf-8"
+    return F.when(other, quoted(F.when(other, words), charset)).otherwise(form_encode(words))
+
+
 def decode_keyword(s: Column) -> Column:
     """The inverse of form encoding; null where the escapes are no UTF-8."""
     return F.try_url_decode(s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -41,9 +41,10 @@ def dedup_key(method: Column, link: Column, title: Column, summary: Column) -> C
 
 
 def within_page(records: DataFrame, page: str, key: str, rank: str) -> DataFrame:
-    """Of a page's rows with one key the last. Groups are no larger than a page."""
-    w = Window.partitionBy(page, key).orderBy(F.col(rank).desc())
-    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of a page's rows with one key the last by ``rank``: an aggregate, which combines before the shuffle."""
+    rest = [c for c in records.columns if c not in (page, key)]
+    best = F.max_by(F.struct(*rest), F.col(rank)).alias("_r")
+    return records.groupBy(page, key).agg(best).select(page, key, "_r.*").select(*records.columns)
 
 
 def first_of_all(records: DataFrame, key: str, *order: str) -> DataFrame:
@@ -62,12 +63,13 @@ def new_records(records: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return records.join(seen.select(key), key, "left_anti")
 
 
-def page_counts(records: DataFrame, seen: DataFrame, page: str, key: str, *order: str) -> DataFrame:
+def page_counts(records: DataFrame, seen: DataFrame, page: str, key: str, *order: str, new: DataFrame | None = None) -> DataFrame:
     """page, new_cnt, dup_cnt: of each page's rows those that are the first of their key anywhere and unseen, and the rest.
 
     A repeat within a page and a filtered row count as duplicates, if they are
-    in ``records``.
+    in ``records``. The new rows may be given if they are known.
     """
-    new = new_records(first_of_all(records.select(page, key, *order), key, *order), seen, key).groupBy(page).agg(F.count(F.lit(1)).alias("new_cnt"))
+    new = new_records(first_of_all(records.select(page, key, *order), key, *order), seen, key) if new is None else new
+    new = new.groupBy(page).agg(F.count(F.lit(1)).alias("new_cnt"))
     every = records.groupBy(page).agg(F.count(F.lit(1)).alias("_all"))
     return every.join(new, page, "left").select(page, F.coalesce("new_cnt", F.lit(0)).alias("new_cnt"), (F.col("_all") - F.coalesce("new_cnt", F.lit(0))).alias("dup_cnt"))

@@ -3,12 +3,16 @@
 Recovery from malformed HTML is our own: void elements have no content, a new
 ``p``, ``li``, ``tr``, ``td``, ``dt``, ``option`` closes an open one of its
 kind within the same block, an end tag closes up to the nearest open element of
-its name (or is passed over), script and style are raw text, what is still open
-at the end is closed. Lengths are in UTF-8 bytes.
+its name (or is passed over), script and style are raw text, a declaration of no
+known kind is a comment, what is still open at the end is closed. Lengths are in
+UTF-8 bytes. Building a tree and summing up its texts take time in proportion to
+its nodes, however deep or wide it is.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property
 from html.parser import HTMLParser
@@ -27,15 +31,20 @@ BARRIERS = {"p": frozenset("article aside body div footer header html li main na
 # Elements whose text doesn't count.
 USELESS_TAGS, USELESS_VALUES = frozenset(("script", "style", "link", "textarea")), frozenset(("display: none;", "display:none", "cat-menu"))
 BLANKS = " \t\r\n"
+#: Bytes of rows, about, that are handed over at once.
+BATCH_BYTES = 8 << 20
+#: Marked sections that the parser of the standard library knows.
+_SECTION = re.compile(r"<!\[\s*(?:temp|cdata|ignore|include|rcdata|if|else|endif)\s*\[", re.I)
 
 
 class Node:
-    """An element (``tag``) or a text (``tag`` is ``#text``)."""
+    """An element (``tag``) or a text (``tag`` is ``#text``); ``nth`` counts those of its name among the siblings, from 1."""
 
-    __slots__ = ("tag", "attrs", "text", "parent", "children", "ordinal", "__dict__")
+    __slots__ = ("tag", "attrs", "text", "parent", "children", "ordinal", "nth", "depth", "__dict__")
 
-    def __init__(self, tag: str, attrs: dict[str, str], text: str, parent: Node | None, ordinal: int):
-        self.tag, self.attrs, self.text, self.parent, self.ordinal = tag, attrs, text, parent, ordinal
+    def __init__(self, tag: str, attrs: dict[str, str], text: str, parent: Node | None, ordinal: int, nth: int = 1):
+        self.tag, self.attrs, self.text, self.parent, self.ordinal, self.nth = tag, attrs, text, parent, ordinal, nth
+        self.depth: int = 0 if parent is None else parent.depth + 1
         self.children: list[Node] = []
 
     @property
@@ -52,17 +61,23 @@ class Node:
         base = self.parent if self.is_text else self
         return base is not None and (base.tag == "a" or base.parent is not None and base.parent.tag == "a")
 
-    @cached_property
+    @property
+    def step(self) -> str:
+        return f"{'text()' if self.is_text else self.tag}[{self.nth}]"
+
+    @property
     def path(self) -> str:
         """Steps ``tag[k]`` from the top, ``k`` counting elements of that name among the siblings."""
-        if self.parent is None:
-            return f"{self.tag}[1]"
-        k = 1
-        for other in self.parent.children:
-            if other is self:
+        return self.path_below(None)
+
+    def path_below(self, top: Node | None) -> str:
+        """The steps from below ``top`` to here."""
+        steps = []
+        for x in self.up():
+            if x is top:
                 break
-            k += other.tag == self.tag
-        return f"{self.parent.path}/{'text()' if self.is_text else self.tag}[{k}]"
+            steps.append(x.step)
+        return "/".join(reversed(steps))
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -83,42 +98,60 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document", {}, "", None, 0)
         self.open, self.count = [self.root], 0
+        #: Of each name, the places of open elements; and of each open element, how many children of each name it has.
+        self.places: dict[str, list[int]] = {}
+        self.numbers: list[dict[str, int]] = [{}]
 
     def _add(self, tag: str, attrs: dict[str, str], text: str = "") -> Node:
         self.count += 1
-        node = Node(tag, attrs, text, self.open[-1], self.count)
+        numbers = self.numbers[-1]
+        numbers[tag] = numbers.get(tag, 0) + 1
+        node = Node(tag, attrs, text, self.open[-1], self.count, numbers[tag])
         self.open[-1].children.append(node)
         return node
 
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+        self.numbers.append({})
+
+    def _close(self, place: int) -> None:
+        """Closes the open elements from ``place`` on."""
+        for node in self.open[place:]:
+            self.places[node.tag].pop()
+        del self.open[place:], self.numbers[place:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if names := CLOSES.get(tag):
             stop = BARRIERS.get(tag if tag in BARRIERS else names[0], frozenset())
-            outermost = len(self.open)
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag in names:
-                    outermost = k
-                elif self.open[k].tag in stop:
-                    break
-            del self.open[outermost:]
+            barrier = max((own[-1] for x in stop if (own := self.places.get(x))), default=0)
+            # The outermost open element of these names past the nearest barrier.
+            after = [own[k] for x in names if (own := self.places.get(x)) and (k := bisect_right(own, barrier)) < len(own)]
+            if after:
+                self._close(min(after))
         node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                break
+        if own := self.places.get(tag):
+            self._close(own[-1])
 
     def handle_data(self, data: str) -> None:
         if data:
             self._add("#text", {}, data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of ``<![...``: one of no known kind is a comment up to the next ``>``."""
+        if _SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i)
+
 
 def parse(html: str | None) -> Node:
     """The tree of a page; null and empty pages give a document without children."""
@@ -128,36 +161,61 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def _sums(nodes: list[Node], own: dict[int, int]) -> dict[int, int]:
+    """For each of ``nodes`` (parents first) the sum of ``own`` over it and all below it."""
+    out = {x.ordinal: own.get(x.ordinal, 0) for x in nodes}
+    for x in reversed(nodes):
+        if x.parent is not None and x.parent.ordinal in out:
+            out[x.parent.ordinal] += out[x.ordinal]
+    return out
+
+
 def root_of(document: Node) -> Node:
     """The ``html`` element with the longest text, or the document itself."""
-    found = [x for x in document.walk() if x.tag == "html"]
-    return max(found, key=lambda x: sum(len(t.text.encode(errors="replace")) for t in x.walk() if t.is_text), default=document)
+    nodes = list(document.walk())
+    found = [x for x in nodes if x.tag == "html"]
+    if len(found) > 1:
+        sizes = _sums(nodes, {t.ordinal: len(t.text.encode(errors="replace")) for t in nodes if t.is_text})
+        return max(found, key=lambda x: sizes[x.ordinal])
+    return found[0] if found else document
+
+
+class Texts:
+    """The texts of a tree in order; those of a node are a run of them."""
+
+    def __init__(self, nodes: list[Node], kept: list[Node]):
+        own = {t.ordinal for t in kept}
+        self.all, self.first = kept, {}
+        number = 0
+        for x in nodes:
+            self.first[x.ordinal] = number
+            number += x.ordinal in own
+        self.count = _sums(nodes, dict.fromkeys(own, 1))
+
+    def of(self, node: Node) -> list[Node]:
+        at = self.first.get(node.ordinal, 0)
+        return self.all[at : at + self.count.get(node.ordinal, 0)]
 
 
 class Units:
     """Text sums of every node: kept texts, their bytes, and those outside links."""
 
     def __init__(self, root: Node, longest: int | None = None):
-        self.root = root
-        self.texts: dict[int, list[Node]] = {}
-        self.total: dict[int, int] = {}
-        self.plain: dict[int, int] = {}
-        for node in root.walk():
-            if not node.is_text or not (text := node.text.strip(BLANKS)):
+        self.root, self.nodes = root, list(root.walk())
+        total, plain, kept = {}, {}, []
+        useless = {root.parent.ordinal: any(x.useless for x in root.parent.up())} if root.parent is not None else {}
+        for x in self.nodes:
+            useless[x.ordinal] = x.useless or x.parent is not None and useless[x.parent.ordinal]
+            if not x.is_text or useless[x.ordinal] or not (text := x.text.strip(BLANKS)):
                 continue
             size = len(text.encode(errors="replace"))
-            if longest is not None and size > longest or any(x.useless for x in node.up()):
-                continue
-            for x in node.up():
-                k = x.ordinal
-                self.texts.setdefault(k, []).append(node)
-                self.total[k] = self.total.get(k, 0) + size
-                self.plain[k] = self.plain.get(k, 0) + (0 if node.is_link else size)
-                if x is root:
-                    break
+            if longest is None or size <= longest:
+                kept.append(x)
+                total[x.ordinal], plain[x.ordinal] = size, 0 if x.is_link else size
+        self.total, self.plain, self.texts = _sums(self.nodes, total), _sums(self.nodes, plain), Texts(self.nodes, kept)
 
     def has(self, node: Node) -> bool:
-        return node.ordinal in self.texts
+        return self.texts.count.get(node.ordinal, 0) > 0
 
     def size(self, node: Node, kind: int = 0) -> int:
         """Bytes of text: 0 all, 1 outside links, 2 in links."""
@@ -169,64 +227,97 @@ class Units:
         return 1.0 if node.is_link or not total else self.size(node, 2) / total
 
     def list(self, node: Node, kind: int = 0) -> list[Node]:
-        return [t for t in self.texts.get(node.ordinal, ()) if not kind or t.is_link == (kind == 2)]
+        return [t for t in self.texts.of(node) if not kind or t.is_link == (kind == 2)]
 
     def text(self, node: Node, kind: int = 0) -> str:
         return " ".join(t.text.strip(BLANKS) for t in self.list(node, kind))
 
+    @cached_property
+    def anchors(self) -> dict[int, int]:
+        """How many ``a`` each node holds, itself included."""
+        return _sums(self.nodes, {x.ordinal: 1 for x in self.nodes if x.tag == "a"})
+
+    @cached_property
+    def longest_link(self) -> dict[int, Node]:
+        """Of each node the link element below it with the longest text, the first of equal ones."""
+        out: dict[int, Node] = {}
+        for x in reversed(self.nodes):
+            best = None
+            for child in x.children:
+                own = child if not child.is_text and self.has(child) and child.is_link else None
+                for y in (own, out.get(child.ordinal)):
+                    if y is not None and (best is None or self.size(y) > self.size(best)):
+                        best = y
+            if best is not None:
+                out[x.ordinal] = best
+        return out
+
 
 NODES = "node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string, path string, ancestors array<int>, useless boolean, is_link boolean"
 
 
-def _node_rows(html: str | None) -> list[dict]:
-    out, depth, above = [], {0: 0}, {0: [0]}
+def _node_rows(html: str | None) -> Iterator[dict]:
+    useless, above = {0: False}, {0: [0]}
     for x in parse(html).walk():
         if x.parent is None:
             continue
         k, p = x.ordinal, x.parent.ordinal
-        depth[k] = depth[p] + 1
-        if not x.is_text:
+        useless[k] = useless[p] or x.useless
+        if not x.is_text and x.children:
             above[k] = [*above[p], k]
-        out.append({"node_id": k, "parent_id": p, "depth": depth[k], "tag": x.tag, "attrs": list(x.attrs.items()), "text": x.text if x.is_text else None, "path": x.path, "ancestors": above[p], "useless": x.useless, "is_link": x.is_link})
-    return out
+        yield {"node_id": k, "parent_id": p, "depth": x.depth, "tag": x.tag, "attrs": list(x.attrs.items()), "text": x.text if x.is_text else None, "path": x.path, "ancestors": above[p], "useless": useless[k], "is_link": x.is_link}
 
 
 def dom_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each node of each page; the key goes first. Pages without markup cost nothing: they are left out before Python."""
+    """A row for each node of each page; the key goes first. ``useless`` says whether it or an element above it is.
+
+    Pages without markup cost nothing: they are left out before Python. Rows
+    hold their path and ancestors, so a page of very deep elements gives very
+    long ones; they are handed over bit by bit.
+    """
     kinds = pa.schema([("key", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("path", pa.string()), ("ancestors", pa.list_(pa.int32())), ("useless", pa.bool_()), ("is_link", pa.bool_())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if found := _node_rows(page.as_py()):
-                    yield pa.RecordBatch.from_pylist([{"key": k, **r} for r in found], kinds)
+                some, held = [], 0
+                for r in _node_rows(page.as_py()):
+                    some.append({"key": k, **r})
+                    held += 200 + len(r["path"]) + 8 * len(r["ancestors"]) + len(r["text"] or "")
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(some, kinds)
+                        some, held = [], 0
+                if some:
+                    yield pa.RecordBatch.from_pylist(some, kinds)
 
     slim = pages.where(F.col(html).contains("<")).select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"))
     return slim.mapInArrow(rows, f"key long, {NODES}").withColumnRenamed("key", key)
 
 
-def text_units(nodes: DataFrame, key: str = "page_id", longest: int | None = None) -> DataFrame:
-    """Text sums of every element: one explode over ancestors and one aggregation.
+def text_units(pages: DataFrame, key: str = "page_id", html: str = "html", longest: int | None = None) -> DataFrame:
+    """Text sums of every element that has texts (unit 0 is the document): one pass over each page, no shuffle.
 
     Texts that are blank, too long or within a useless element don't count.
     """
-    useless = nodes.where("useless").select(key, F.col("node_id").alias("_bad"))
-    texts = nodes.where("tag = '#text'").withColumn("text", F.btrim(F.col("text"), F.lit(BLANKS))).where("text <> ''")
-    if longest is not None:
-        texts = texts.where(F.octet_length("text") <= longest)
-    each = texts.select(key, "node_id", "text", "is_link", F.explode("ancestors").alias("unit"))
-    bad = each.join(useless, (each[key] == useless[key]) & (each["unit"] == useless["_bad"]), "left_semi").select(key, "node_id").distinct()
-    size = F.octet_length("text").cast("long")
-    plain = F.when(~F.col("is_link"), size).otherwise(0)
-    return (
-        each.join(bad, [key, "node_id"], "left_anti")
-        .groupBy(key, "unit")
-        .agg(
-            F.sum(size).alias("total_bytes"), F.sum(plain).alias("plain_bytes"), F.sum(size - plain).alias("link_bytes"),
-            F.count(F.lit(1)).alias("texts"), F.sum(F.col("is_link").cast("long")).alias("link_texts"),
-            F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("_t"),
-        )
-        .withColumn("link_rate", F.col("link_bytes") / F.col("total_bytes"))
-        .withColumn("text", F.concat_ws(" ", F.transform("_t", lambda t: t["text"])))
-        .drop("_t")
-    )
+    names = ("unit", "total_bytes", "plain_bytes", "link_bytes", "texts", "link_texts", "text")
+    kinds = pa.schema([("key", pa.int64()), ("unit", pa.int32()), *[(n, pa.int64()) for n in names[1:-1]], ("text", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                units, some, held = Units(parse(page.as_py()), longest), [], 0
+                for x in units.nodes:
+                    if x.is_text or not units.has(x):
+                        continue
+                    own = units.list(x)
+                    some.append((k, x.ordinal, *(units.size(x, kind) for kind in range(3)), len(own), sum(t.is_link for t in own), units.text(x)))
+                    held += 100 + len(some[-1][-1])
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
+                        some, held = [], 0
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
+
+    slim = pages.where(F.length(html) > 0).select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"))
+    out = slim.mapInArrow(rows, "key long, unit int, total_bytes long, plain_bytes long, link_bytes long, texts long, link_texts long, text string")
+    return out.withColumnRenamed("key", key).withColumn("link_rate", F.col("link_bytes") / F.col("total_bytes"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import BLANKS, Node, Units, parse, root_of
+from .dom import BLANKS, Node, Texts, Units, parse, root_of
 
 #: Longest title in bytes, and the share of the longer string that its distance to the page title must stay under.
 TITLE_BYTES, TITLE_DISTANCE = 120, 0.5
@@ -127,6 +127,15 @@ def _extends(current: list, other: list) -> list | None:
     return [p for p in other if p[0] in own or p[1] is not None]
 
 
+def _anchors(document: Node) -> Iterator[tuple[Node, str, str]]:
+    """Every ``a`` with an address, the address, and its text."""
+    nodes = list(document.walk())
+    texts = Texts(nodes, [x for x in nodes if x.is_text])
+    for a in nodes:
+        if a.tag == "a" and (href := a.attrs.get("href", "").strip(BLANKS)):
+            yield a, href, "".join(t.text for t in texts.of(a))
+
+
 def next_page_of(document: Node, page: str) -> str | None:
     """The link marked as the next page, else the least one after this page in the order of query parameters; null if there is none."""
     m = re.match(r"[^:/]+://([^/?]*)", page)
@@ -134,10 +143,8 @@ def next_page_of(document: Node, page: str) -> str | None:
         return None
     host, (base, current) = m[1], _params(page)
     found = []
-    for a in document.walk():
-        if a.tag != "a" or not (href := a.attrs.get("href", "").strip(BLANKS)):
-            continue
-        text = re.sub(r"[\r\n ]", "", "".join(t.text for t in a.walk() if t.is_text))
+    for a, href, text in _anchors(document):
+        text = re.sub(r"[\r\n ]", "", text)
         if any(w in text for w in NEXT_WORDS) or text == NEXT_MARK:
             if number := re.search(r"pageIndex=(\d+)", href):
                 return re.sub(rf"&p={int(number[1]) - 1}(?!\d)", f"&p={number[1]}", page)
@@ -160,7 +167,7 @@ def next_page_of(document: Node, page: str) -> str | None:
 
 def links_of(document: Node, page: str) -> list[tuple[str, str]]:
     """(absolute link, text) of every ``a`` with an address."""
-    return [(normalise(rooted(a.attrs["href"].strip(BLANKS)), page), "".join(t.text for t in a.walk() if t.is_text).strip(BLANKS)) for a in document.walk() if a.tag == "a" and a.attrs.get("href", "").strip(BLANKS)]
+    return [(normalise(rooted(href), page), text.strip(BLANKS)) for _, href, text in _anchors(document)]
 
 
 _FACTS: dict[str, tuple[str, pa.DataType, Callable[[Node, str], object]]] = {

@@ -1,11 +1,12 @@
 """The repeated records of a result page: finding the region, taking records apart, learning and applying wrappers.
 
-A page is parsed once, in one Arrow pass without a shuffle, down to each
-record's title, link, summary and the texts that may hold its date and
+``record_parts`` parses a page once, in one Arrow pass without a shuffle, down
+to each record's title, link, summary and the texts that may hold its date and
 publisher. Which of those do is decided in the JVM by the column functions for
 dates and names. Records the induction can't take apart keep their element
 texts by relative path; wrappers (paths by host and field with their support)
-are learned from the others and applied to them by a join.
+are learned from the others and applied to them by a join. A round that needs
+the parts more than once writes them first (``plans.requests.mine``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ LEAST_REPEATS, MOST_LEVELS = 3, 3
 #: Bytes of a title, shares of a record's text that a title may and a summary must have, and the share of links that makes a record count whole.
 TITLE_BYTES, TITLE_RATE, TITLE_RATE_ALONE, SUMMARY_RATE, LINKED_RATE = 12, 0.5, 0.8, 0.4, 0.7
 LONGEST_TEXT = 400
+#: Steps that a wrapper's path has at most: longer ones are neither learned nor looked up.
+MOST_STEPS = 200
+#: Pages whose records are handed over at once.
+PAGES_AT_ONCE = 128
 # Classes of repeated elements that are menus, and links that lead to no record.
 MENUS, NO_RECORD = frozenset(("sub-nav", "bk-sub-sort", "bk-filter")), ("javascript:", "more.php?id=")
 
@@ -81,7 +86,7 @@ def region(document: Node, units: Units) -> tuple[Node | None, list[Node]]:
         if not group:
             node = best
             continue
-        linked = [x for x in group if any(y.tag == "a" for y in x.walk() if y is not x)]
+        linked = [x for x in group if units.anchors[x.ordinal] > (x.tag == "a")]
         if units.size(best) > MAIN_RATE * units.size(node):
             node = best
             continue
@@ -95,10 +100,9 @@ def region(document: Node, units: Units) -> tuple[Node | None, list[Node]]:
 
 def _title(child: Node, units: Units, page: str) -> tuple[Node, str] | None:
     """The longest link within a child, or the child itself, and its address."""
-    links = [x for x in child.walk() if x is not child and not x.is_text and units.has(x) and x.is_link] or ([child] if units.has(child) and child.is_link else [])
-    if not links:
+    node = units.longest_link.get(child.ordinal) or (child if not child.is_text and units.has(child) and child.is_link else None)
+    if node is None:
         return None
-    node = max(links, key=units.size)
     href = node.attrs.get("href") or next((x.attrs["href"] for x in node.up() if x.tag == "a" and x.attrs.get("href")), "")
     href = href.strip(BLANKS)
     if any(k in href for k in NO_RECORD):
@@ -132,21 +136,26 @@ def take_apart(item: Node, units: Units, page: str, has_summary: bool) -> dict:
             node = best
             continue
         break
-    relative = lambda x: x.path.removeprefix(item.path).lstrip("/")
     if title:
         out["title"], out["link"] = units.text(title[0]), title[1]
-        out["paths"]["title"] = relative(title[0])
+        out["paths"]["title"] = _steps(title[0], item)
     if has_summary and summary is not None:
         out["summary"] = units.text(summary, kind) if units.has(summary) else summary.text.strip(BLANKS)
-        out["paths"]["summary"] = relative(summary)
-    inside = (lambda t, top: top is not None and any(x is top for x in t.up()))
+        out["paths"]["summary"] = _steps(summary, item)
+    below = lambda top: set() if top is None else {t.ordinal for t in units.texts.of(top)}
+    in_title, in_summary = below(title and title[0]), below(summary)
     # The summary's own texts come last: they are only looked at where no other text has a date or a name.
     for t in units.list(item):
-        if not (title and inside(t, title[0])):
-            out["candidates"].append({"text": t.text.strip(BLANKS), "linked": t.is_link, "in_summary": inside(t, summary), "path": relative(t.parent)})
+        if t.ordinal not in in_title:
+            out["candidates"].append({"text": t.text.strip(BLANKS), "linked": t.is_link, "in_summary": t.ordinal in in_summary, "path": _steps(t.parent, item)})
     return out
 
 
+def _steps(node: Node, top: Node) -> str | None:
+    """The path of ``node`` below ``top``; null if it is too long for a wrapper."""
+    return node.path_below(top) if node.depth - top.depth <= MOST_STEPS else None
+
+
 _PARTS = "records array<struct<rank:int,title:string,link:string,summary:string,candidates:array<struct<text:string,linked:boolean,in_summary:boolean,path:string>>,title_path:string,summary_path:string,container:string,tag:string,texts:map<string,string>,hrefs:map<string,string>,same_links:array<struct<rule:string,link:string>>>>"
 _CANDIDATE = pa.struct([("text", pa.string()), ("linked", pa.bool_()), ("in_summary", pa.bool_()), ("path", pa.string())])
 _RECORD = pa.struct([("rank", pa.int32()), ("title", pa.string()), ("link", pa.string()), ("summary", pa.string()), ("candidates", pa.list_(_CANDIDATE)), ("title_path", pa.string()), ("summary_path", pa.string()), ("container", pa.string()), ("tag", pa.string()), ("texts", pa.map_(pa.string(), pa.string())), ("hrefs", pa.map_(pa.string(), pa.string())), ("same_links", pa.list_(pa.struct([("rule", pa.string()), ("link", pa.string())])))])
@@ -165,7 +174,8 @@ def parts_of(html: str | None, page: str, has_summary: bool = True) -> list[dict
         if not has_summary:
             r["summary"] = re.sub(r"[ \r]", "", units.text(item, 1))
         elements = [x for x in item.walk() if x is not item and not x.is_text]
-        relative = {x.ordinal: x.path.removeprefix(item.path).lstrip("/") for x in elements}
+        failed = not r["link"] or has_summary and not r["summary"]
+        looked_up = [(x, path) for x in elements if (path := _steps(x, item))] if failed else []
         same = [
             {"rule": f"{x.parent.tag}.{x.parent.attrs.get('class', '')}/a.{x.attrs.get('class', '')}", "link": x.attrs["href"].strip(BLANKS)}
             for x in elements
@@ -174,25 +184,28 @@ def parts_of(html: str | None, page: str, has_summary: bool = True) -> list[dict
         out.append(
             {
                 "rank": len(out), "title": r["title"], "link": r["link"], "summary": r["summary"], "candidates": r["candidates"],
-                "title_path": r["paths"].get("title"), "summary_path": r["paths"].get("summary"), "container": re.sub(r"\[1\]", "", top.path.removeprefix("#document[1]/")), "tag": item.tag,
-                "texts": [(relative[x.ordinal], units.text(x)) for x in elements if units.has(x)],
-                "hrefs": [(relative[x.ordinal], x.attrs["href"].strip(BLANKS)) for x in elements if x.attrs.get("href")],
+                "title_path": r["paths"].get("title"), "summary_path": r["paths"].get("summary"), "container": re.sub(r"\[1\]", "", top.path_below(document)) if top.depth <= MOST_STEPS else None, "tag": item.tag,
+                "texts": [(path, units.text(x)) for x, path in looked_up if units.has(x)],
+                "hrefs": [(path, x.attrs["href"].strip(BLANKS)) for x, path in looked_up if x.attrs.get("href")],
                 "same_links": same,
             }
         )
     return out
 
 
-def record_parts(pages: DataFrame, has_summary: bool = True, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """A row for each record of each page: key, url and the parts. Pages without markup are left out before Python."""
+def record_parts(pages: DataFrame, has_summary: bool | Column = True, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """A row for each record of each page: key, url, has_summary and the parts. Pages without markup are left out before Python."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parts_of(p.as_py(), u or "", has_summary) for u, p in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(_RECORD))], names=["key", "url", "records"])
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                found = [parts_of(p.as_py(), u or "", h) for u, h, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(_RECORD))], names=["key", "url", "has_summary", "records"])
 
-    slim = pages.where(F.col(html).contains("<")).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return slim.mapInArrow(rows, f"key long, url string, {_PARTS}").select(F.col("key").alias(key), "url", F.inline("records"))
+    flag = F.lit(has_summary) if isinstance(has_summary, bool) else has_summary
+    slim = pages.where(F.col(html).contains("<")).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), flag.alias("has_summary"), F.col(html).alias("html"))
+    return slim.mapInArrow(rows, f"key long, url string, has_summary boolean, {_PARTS}").select(F.col("key").alias(key), "url", "has_summary", F.inline("records"))
 
 
 def region_sizes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -224,28 +237,38 @@ def _dated(parts: DataFrame, as_of: Column) -> DataFrame:
 
 
 def extract_records(pages: DataFrame, as_of: Column, has_summary: bool = True, wrappers: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url, rank, title, link, summary, source, date, date_ts of every record of every page.
+    """``records_of`` the pages' parts. With ``wrappers`` the pages are parsed twice; to avoid that write the parts first."""
+    return records_of(record_parts(pages, has_summary, key, url, html), as_of, wrappers, key)
+
+
+def _whole() -> Column:
+    return (F.col("link") != "") & (~F.col("has_summary") | (F.col("summary") != ""))
+
+
+def records_of(parts: DataFrame, as_of: Column, wrappers: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """key, url, rank, title, link, summary, source, date, date_ts of every record of ``record_parts``.
 
     Records without a link (or, with ``has_summary``, a summary) are taken
     from ``wrappers`` if given, else left out.
     """
-    whole = F.col("link") != ""
-    if has_summary:
-        whole = whole & (F.col("summary") != "")
     columns = [key, "url", "rank", "title", "link", "summary", "source", "date", "date_ts"]
-    parts = record_parts(pages, has_summary, key, url, html)
-    out = _dated(parts.where(whole), as_of).select(*columns)
-    return out if wrappers is None else out.unionByName(apply_wrappers(parts.where(~whole), wrappers, as_of, key).where("link <> ''").select(*columns))
+    out = _dated(parts.where(_whole()), as_of).select(*columns)
+    return out if wrappers is None else out.unionByName(apply_wrappers(parts.where(~_whole()), wrappers, as_of, key).where("link <> ''").select(*columns))
 
 
 def learn_wrappers(pages: DataFrame, as_of: Column, least: int = 2, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``learn_from`` the pages' parts."""
+    return learn_from(record_parts(pages, True, key, url, html), as_of, least)
+
+
+def learn_from(parts: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
     """host, field, path, support: the paths of at least ``least`` whole records of a host.
 
     ``items`` is where a host's records are; other paths are relative to a
     record. Counted before the shuffle, so a host with a third of all pages is a
     few rows of each task.
     """
-    parts = _dated(record_parts(pages, True, key, url, html).where("link <> '' AND summary <> ''"), as_of)
+    parts = _dated(parts.where("link <> '' AND summary <> ''"), as_of)
     fields = F.create_map(
         F.lit("items"), F.concat_ws("/", "container", "tag"), F.lit("title"), F.col("title_path"), F.lit("link"), F.col("title_path"),
         F.lit("summary"), F.col("summary_path"), F.lit("date"), F.col("date_path"), F.lit("source"), F.col("source_path"),
@@ -261,9 +284,18 @@ def apply_wrappers(failed: DataFrame, wrappers: DataFrame, as_of: Column, key: s
     publisher equal to the date loses its digits and signs; one longer than the
     title is searched for a name.
     """
-    best = wrappers.where("field <> 'items'").groupBy("host", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "path"))).alias("paths"))
-    by_host = best.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("field", "paths"))).alias("w"))
-    joined = failed.withColumn("host", authority(F.col("url"))).join(by_host, "host")
+    joined = failed.withColumn("host", authority(F.col("url"))).join(_by_host(wrappers.where("field <> 'items'")), "host")
+    return _filled(joined, as_of)
+
+
+def _by_host(wrappers: DataFrame) -> DataFrame:
+    """host, w: a map from fields to paths, the best supported first. A row for each host, small beside its pages."""
+    best = wrappers.groupBy("host", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "path"))).alias("paths"))
+    return best.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("field", "paths"))).alias("w"))
+
+
+def _filled(joined: DataFrame, as_of: Column) -> DataFrame:
+    """Rows with url, texts, hrefs and w (``_by_host``) with their fields looked up."""
 
     def pick(field: str, values: str) -> Column:
         found = F.filter(F.transform(F.col("w")[field], lambda p: F.col(values)[p["path"]]), lambda v: v.isNotNull())
@@ -276,6 +308,55 @@ def apply_wrappers(failed: DataFrame, wrappers: DataFrame, as_of: Column, key: s
     return out.withColumns({"link": link, "source": F.btrim(named), "date_ts": ts}).withColumn("date", date_text(F.col("date_ts"))).drop("_href", "_date", "w", "host")
 
 
+def at_path(root: Node, path: str) -> list[Node]:
+    """The elements that a path like ``html/body/div[2]/div`` leads to; a step without a number takes all of its name."""
+    found = [root]
+    for step in path.split("/"):
+        name, _, number = step.partition("[")
+        found = [x for node in found for x in node.children if x.tag == name and (not number or x.nth == int(number.rstrip("]")))]
+    return found
+
+
+def apply_to_pages(pages: DataFrame, wrappers: DataFrame, as_of: Column, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Records of whole pages by their host's wrappers, for pages without a region: key, url, rank, title, link, summary, source, date, date_ts.
+
+    The best supported ``items`` path that leads to elements of the page gives
+    its records; those without a link are left out. Fields are looked up as in
+    ``apply_wrappers``.
+    """
+    kind = "texts:map<string,string>,hrefs:map<string,string>"
+    pairs = pa.map_(pa.string(), pa.string())
+
+    def items_of(page: str, paths: list[str]) -> list[dict]:
+        document = parse(page)
+        units = Units(root_of(document), LONGEST_TEXT)
+        for path in paths:
+            if items := at_path(document, path):
+                break
+        else:
+            return []
+        out = []
+        for item in items:
+            elements = [(x, at) for x in item.walk() if x is not item and not x.is_text and (at := _steps(x, item))]
+            out.append({"texts": [(at, units.text(x)) for x, at in elements if units.has(x)], "hrefs": [(at, x.attrs["href"].strip(BLANKS)) for x, at in elements if x.attrs.get("href")]})
+        return out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                found = [items_of(p.as_py(), paths) for paths, p in zip(part.column(2).to_pylist(), part.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.list_(pa.struct([("texts", pairs), ("hrefs", pairs)])))], names=["key", "url", "items"])
+
+    slim = pages.where(F.col(html).contains("<")).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), authority(F.col(url)).alias("host"))
+    by_host = _by_host(wrappers)
+    known = slim.join(by_host, "host").select("key", "url", F.transform(F.col("w")["items"], lambda p: p["path"]).alias("paths"), "html").where("paths IS NOT NULL")
+    items = known.mapInArrow(rows, f"key long, url string, items array<struct<{kind}>>").select("key", "url", F.posexplode("items").alias("rank", "i")).select("key", "url", "rank", "i.*")
+    joined = items.withColumn("host", authority(F.col("url"))).join(by_host, "host")
+    out = _filled(joined, as_of).where("link <> ''")
+    return out.select(F.col("key").alias(key), "url", "rank", "title", "link", "summary", "source", "date", "date_ts")
+
+
 #: By host, where a record's link to copies of the same story is.
 SAME_STORY = (("news.chinaso.com", "p.snapshot/a."), ("news.baidu.com", "span.c-info/a.c-more_link"), ("news.haosou.com", "p.newsinfo/a.same"))
 

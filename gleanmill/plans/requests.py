@@ -1,21 +1,21 @@
-"""From sites and keywords to page requests, and from results to messages."""
+"""From sites and keywords to page requests, and which parser a site's pages need."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import authority, encode_keyword
-from ..operators.dedup import dedup_key, first_of_all, new_records, rule_filter, within_page
-from ..operators.records import extract_records, learn_wrappers
-from ..operators.tasks import task, task_messages
+from ..functions.urls import authority, charset_name, encode_as
+from ..operators.dedup import first_of_all
+from ..sources.shared import small
 
 #: Task types of site templates.
 NEWS, BLOG, FORUM, WECHAT = "新闻", "博客", "论坛", "微信"
 FEED_HOST = "search.people.com.cn"
+#: Sites up to which their table is broadcast.
+MOST_SITES = 100_000
 
 
 def distinct_keywords(keywords: DataFrame) -> DataFrame:
@@ -32,12 +32,20 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 def plan_requests(sites: DataFrame, keywords: DataFrame) -> DataFrame:
     """site, keyword, page_idx, page_no, url, post_data, method for each page of each keyword at each site.
 
-    The product of sites and keywords is what is asked for; sites are few and
-    broadcast, so it needs no shuffle. Keywords are encoded once per site.
+    A keyword is encoded once for each charset among ``sites.encode_type``
+    (UTF-8 without that column), a site's own search prefix once for it. The
+    product of sites and keywords is what is asked for; up to ``MOST_SITES``
+    sites are broadcast, so it needs no shuffle.
     """
-    each = keywords.crossJoin(F.broadcast(sites))
-    key = encode_keyword(F.col("keyword"), F.col("search_in_site"))
-    pages = each.withColumn("_key", key).withColumn("page_idx", F.explode(F.when(F.col("page_total") > 0, F.sequence(F.lit(0), F.col("page_total") - 1))))
+    kind = F.col("encode_type") if "encode_type" in sites.columns else F.lit(None).cast("string")
+    own = sites.withColumn("_charset", charset_name(kind))
+    prefix = F.when(F.coalesce("search_in_site", F.lit("")) == "", "").otherwise(F.concat(encode_as(F.col("search_in_site"), F.col("_charset")), F.lit("+")))
+    own = small(own.withColumn("_prefix", prefix), MOST_SITES)
+    charsets = F.broadcast(own.select("_charset").distinct())  # a handful
+    words = keywords.crossJoin(charsets)
+    words = words.withColumn("_word", encode_as(F.col("keyword"), F.col("_charset")))
+    each = words.join(own, "_charset").withColumn("_key", F.concat("_prefix", "_word"))
+    pages = each.withColumn("page_idx", F.explode(F.when(F.col("page_total") > 0, F.sequence(F.lit(0), F.col("page_total") - 1))))
     number = (F.col("page_start") + F.col("page_idx") * F.col("page_increase")).cast("string")
     filled = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("{0}"), F.col("_key")), F.lit("{1}"), number)
     out = pages.withColumns({"url": filled("request_url"), "post_data": filled("post_data"), "page_no": number.cast("int")})
@@ -57,9 +65,16 @@ def live_requests(requests: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def request_chain(requests: DataFrame) -> DataFrame:
-    """``requests`` with ``previous_url``: the request before it at its site, by page and keyword."""
-    w = Window.partitionBy("site").orderBy("page_idx", "keyword")
-    return requests.withColumn("previous_url", F.lag("url").over(w))
+    """``requests`` with ``previous_url``: the request before it at its site, by page and keyword.
+
+    Within a page of a site by a window; a page's first request has the last
+    one of the site's page before, of which there are few.
+    """
+    own = Window.partitionBy("site", "page_idx").orderBy("keyword")
+    last = requests.groupBy("site", "page_idx").agg(F.max_by("url", "keyword").alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("site").orderBy("page_idx"))).select("site", "page_idx", "_before")
+    joined = requests.withColumn("_lag", F.lag("url").over(own)).join(before, ["site", "page_idx"], "left")
+    return joined.select(*requests.columns, F.coalesce("_lag", "_before").alias("previous_url"))
 
 
 @dataclass(frozen=True)
@@ -87,7 +102,7 @@ def register(task_type: str, host: str | None, parser: Parser) -> None:
 
 
 def dispatch(sites: DataFrame, parsers: dict[tuple[str, str | None], Parser] | None = None) -> DataFrame:
-    """``sites`` with ``parser``, by task type and host, else by task type; null for unknown types. The registry is small and broadcast."""
+    """``sites`` with ``parser``, by task type and host, else by task type, and its has_summary and feed; null for unknown types. The registry is small and broadcast."""
     spark = sites.sparkSession
     rows = [(t, h, p.name) for (t, h), p in (parsers or PARSERS).items()]
     table = spark.createDataFrame(rows, "task_type string, _host string, _parser string")
@@ -95,18 +110,7 @@ def dispatch(sites: DataFrame, parsers: dict[tuple[str, str | None], Parser] | N
     general = F.broadcast(table.where("_host IS NULL").select("task_type", F.col("_parser").alias("_any")))
     own = sites.withColumn("host", authority(F.col("request_url")))
     joined = own.join(exact.select("task_type", F.col("_host").alias("host"), "_parser"), ["task_type", "host"], "left").join(general, "task_type", "left")
-    return joined.withColumn("parser", F.coalesce("_parser", "_any")).drop("_parser", "_any")
-
-
-def mine(pages: DataFrame, seen: DataFrame, as_of, method: str = "LINK", site_type: str = NEWS, learn: bool = True, prepare: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """A whole round over fetched pages (page_id, url, html): (new records, a message for each page with any).
-
-    Records come from induction, failed ones by wrappers that this round's
-    pages teach; filtered, deduplicated within their page, across pages and
-    against ``seen`` (dedup_key).
-    """
-    pages = prepare(pages) if prepare else pages
-    records = extract_records(pages, as_of, wrappers=learn_wrappers(pages, as_of) if learn else None)
-    keyed = rule_filter(records).withColumn("dedup_key", dedup_key(F.lit(method), F.col("link"), F.col("title"), F.col("summary")))
-    new = new_records(first_of_all(within_page(keyed, "page_id", "dedup_key", "rank"), "dedup_key", "page_id", "rank"), seen, "dedup_key")
-    return new, task_messages(new, "page_id", "rank", task(F.col("link"), F.col("title"), F.col("date"), F.lit(site_type)))
+    found = joined.withColumn("parser", F.coalesce("_parser", "_any")).drop("_parser", "_any")
+    named = {p.name: p for p in (parsers or PARSERS).values()}
+    flag = lambda name: F.col("parser").isin(*[n for n, p in named.items() if getattr(p, name)])
+    return found.withColumns({"has_summary": flag("has_summary"), "feed": flag("feed")})

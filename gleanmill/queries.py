@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, normalize, publishers, text, urls
 from .operators import dedup, dom, page, records, stats, stops, tasks
-from .plans import requests
+from .plans import requests, rounds
 from .sources import files
 from .sources.shared import shared_folder
 from .streaming import streams
@@ -91,6 +91,33 @@ def summary_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENC = "replace(url_encode({}), '%20', '+')"
 
 
+@query("SELECT trim(p_name) AS keyword, count(*) AS n FROM part WHERE trim(p_name) <> '' GROUP BY ALL")
+def keyword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords written to text files, between blank lines, and read back."""
+    path = shared_folder(spark, "keywords")
+    table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.col("p_name"), F.lit(" \n\n"))).write.text(path)
+    return files.read_keywords(spark, path).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS line_id, url FROM pages WHERE page_id % 3 <> 0")
+def page_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tab-separated list of pages, every third without an address."""
+    path = shared_folder(spark, "pages")
+    line = F.concat(F.col("page_id").cast("string"), F.lit("\t"), F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.col("url")))
+    table(spark, sf_dir, "pages").select(line).write.text(path)
+    return files.read_page_list(spark, path)
+
+
+@query("SELECT page_id AS fetch_id, md5(html) AS body FROM pages WHERE page_id % 4 <> 1")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages in files, every fourth of which failed, as a stream of new files."""
+    folder = shared_folder(spark, "fetched")
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(k.alias("fetch_id"), "url", F.when(k % 4 != 1, F.col("html").cast("binary")).alias("body"), F.lit("").alias("headers"), F.lit(None).cast("timestamp").alias("fetch_ts"))
+    rows.write.parquet(folder)
+    return _finished(files.read_fetched(spark, folder, stream=True).select("fetch_id", F.md5("body").alias("body")), "fetched", "append", ["fetch_id", "body"])
+
+
 @query(f"SELECT p_partkey, {_ENC.format('p_name')} AS encoded, {_ENC.format("'site:x ' || p_name")} AS with_site FROM part")
 def keyword_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", urls.encode_keyword(F.col("p_name")).alias("encoded"), urls.encode_keyword(F.col("p_name"), F.lit("site:x")).alias("with_site"))
@@ -298,12 +325,13 @@ def stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.stop_rule(_counts(table(spark, sf_dir, "events")), ["site", "keyword"]).select("site", "keyword", "page_idx", "stop", "live")
 
 
-@query("SELECT source, 'http://d.example/' || doc_id AS url, lang AS pubdate, 'Document ' || doc_id AS title, '' AS \"siteName\", '' AS \"channelName\", '新闻' AS \"siteType\", '-1' AS \"maxDepth\" FROM documents")
+@query("SELECT doc_id // 10 AS page, 'http://d.example/' || doc_id AS url, lang AS pubdate, 'Document ' || doc_id AS title, '' AS \"siteName\", '' AS \"channelName\", '新闻' AS \"siteType\", '-1' AS \"maxDepth\" FROM documents")
 def task_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages by source, taken apart again."""
+    """Messages of ten documents each, taken apart again."""
     key = F.col("doc_id").cast("string")
     made = tasks.task(F.concat(F.lit("http://d.example/"), key), F.concat(F.lit("Document "), key), F.col("lang"), F.lit(requests.NEWS))
-    return tasks.read_messages(tasks.task_messages(table(spark, sf_dir, "documents"), "source", "doc_id", made))
+    docs = table(spark, sf_dir, "documents").withColumn("page", F.floor(F.col("doc_id") / 10))
+    return tasks.read_messages(tasks.task_messages(docs, "page", "doc_id", made))
 
 
 def _stat_rows(events: DataFrame) -> DataFrame:
@@ -382,7 +410,7 @@ def _shown(pattern: str, before: str = "", after: str = "") -> Column:
 
 @query(_expect(60))
 def date_absolute_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dates(spark, sf_dir, _shown("yyyy年M月d日  HH:mm:ss", "12条回复 - 发帖时间: "))
+    return _dates(spark, sf_dir, _shown("yyyy年M月d日  HH:mm:ss", "港口消息 更新于 "))
 
 
 @query(_expect(50, "strftime(t, '%Y-%m-%d %H:%M:00')"))
@@ -409,17 +437,17 @@ def _ago(name: str, unit: str, seconds: int, accuracy: int) -> None:
     sql = f"SELECT o_orderkey, {accuracy} AS accuracy, strftime(TIMESTAMP '{NOW}' - to_seconds(CAST((1 + o_orderkey % 20) * {seconds} AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS found FROM orders"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _dates(spark, sf_dir, F.concat(F.lit("10条回复 - 发帖 "), (F.col("o_orderkey") % 20 + 1).cast("string"), F.lit(unit)))
+        return _dates(spark, sf_dir, F.concat(F.lit("渡船 写于 "), (F.col("o_orderkey") % 20 + 1).cast("string"), F.lit(unit)))
 
     run.__name__ = name
     query(sql)(run)
 
 
 _ago("date_relative_years", "年前", 365 * 86400, 40)
-_ago("date_relative_days", "天之前 的帖子", 86400, 30)
+_ago("date_relative_days", " 日之前", 86400, 30)
 _ago("date_relative_hours", " hours ago", 3600, 40)
-_ago("date_relative_minutes", "分钟前", 60, 50)
-_ago("date_relative_seconds", "秒钟之前 的帖子", 1, 60)
+_ago("date_relative_minutes", " 分钟之前", 60, 50)
+_ago("date_relative_seconds", " 秒前", 1, 60)
 
 
 @query("SELECT o_orderkey, 50 AS accuracy, '2029-12-31 ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || ':00' AS found FROM orders")
@@ -434,6 +462,12 @@ def date_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates(spark, sf_dir, F.concat((F.unix_timestamp("ts") + 3650 * 86400).cast("string"), F.lit(" id")), dates.epoch_date)
 
 
+@query(_expect(60))
+def date_beside_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What looks like a date within an address is none."""
+    return _dates(spark, sf_dir, _shown("yyyy-MM-dd HH:mm:ss", "http://ferry.example.com/2001/2/3/x at "))
+
+
 @query(_expect(30, "strftime(t, '%Y-%m-%d') || ' 12:00:00'"))
 def date_month_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates(spark, sf_dir, _shown("MMM dd, yyyy", "", " · report"))
@@ -447,7 +481,7 @@ def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH o AS ({_O}) SELECT o_orderkey, 60 AS accuracy, 1 AS at, strftime(t, '%Y-%m-%d %H:%M:%S') AS found FROM o")
 def date_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(F.lit("3天前"), _shown("yyyy-MM-dd HH:mm:ss"), F.lit("nothing"))
+    texts = F.array(F.lit("4 days ago"), _shown("yyyy-MM-dd HH:mm:ss"), F.lit("nothing"))
     rows = _order_times(spark, sf_dir).select("o_orderkey", dates.best_date(texts, when(NOW)).alias("d"))
     return rows.select("o_orderkey", "d.accuracy", F.col("d.at"), F.date_format("d.ts", "yyyy-MM-dd HH:mm:ss").alias("found"))
 
@@ -458,17 +492,24 @@ def date_source_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_times(spark, sf_dir).select("o_orderkey", both.alias("b")).select("o_orderkey", "b.*")
 
 
-@query("SELECT s_suppkey, 10 AS accuracy, 'n' || s_suppkey || '网' AS source FROM supplier")
+@query("SELECT s_suppkey, 10 AS accuracy, 'n' || s_suppkey || '晚报' AS source FROM supplier")
 def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.concat(F.lit("n"), F.col("s_suppkey").cast("string"), F.lit("网  2014-12-19"))
+    shown = F.concat(F.lit("n"), F.col("s_suppkey").cast("string"), F.lit("晚报  2021-03-09"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", publishers.extract_source(shown).alias("s")).select("s_suppkey", "s.accuracy", "s.source")
 
 
-@query("SELECT s_suppkey, 31 AS accuracy, 1 AS at, '凤凰网' || s_suppkey AS source FROM supplier")
+@query("SELECT s_suppkey, 10 AS accuracy, 'n' || s_suppkey || '晚报' AS source, 110 AS beg FROM supplier")
+def source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name at the end of a long text."""
+    shown = F.concat(F.repeat(F.lit("long words "), 10), F.lit("n"), F.col("s_suppkey").cast("string"), F.lit("晚报"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", publishers.extract_source(shown).alias("s")).select("s_suppkey", "s.accuracy", "s.source", "s.beg")
+
+
+@query("SELECT s_suppkey, 31 AS accuracy, 1 AS at, '搜狐频道' || s_suppkey AS source FROM supplier")
 def source_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The better name wins, and names outside links are favoured."""
     key = F.col("s_suppkey").cast("string")
-    texts = F.array(F.concat(F.lit("n"), key, F.lit("网")), F.concat(F.lit("凤凰网"), key, F.lit(" 11月27日")), F.lit("凤凰网 举报"))
+    texts = F.array(F.concat(F.lit("n"), key, F.lit("晚报")), F.concat(F.lit("搜狐频道"), key, F.lit(" 3月9日")), F.lit("搜狐频道 举报"))
     best = publishers.best_source(texts, F.array(F.lit(False), F.lit(False), F.lit(True)))
     return table(spark, sf_dir, "supplier").select("s_suppkey", best.alias("b")).select("s_suppkey", "b.accuracy", "b.at", "b.source")
 
@@ -542,7 +583,7 @@ def dom_nodes_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text sums of every element of every page."""
-    return dom.text_units(dom.dom_nodes(table(spark, sf_dir, "pages")))
+    return dom.text_units(table(spark, sf_dir, "pages"))
 
 
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
@@ -592,7 +633,7 @@ def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AS_OF = "2024-06-15 12:00:00"
-SOURCES = ("同花顺网", "凤凰网", "环球时报")
+SOURCES = ("海港晚报", "搜狐频道", "山谷周报")
 
 
 def result_pages(spark: SparkSession, sf_dir: str, short_titles: bool = False) -> DataFrame:
@@ -679,10 +720,91 @@ def mining_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole round: records, rules, deduplication against links seen before, messages taken apart."""
     pages = result_pages(spark, sf_dir)
     odd = records.extract_records(pages.where("page_id % 2 = 1"), when(AS_OF)).select(F.col("link").alias("dedup_key"))
-    _, messages = requests.mine(pages, odd, when(AS_OF))
+    _, messages = rounds.pages_round(pages, odd, when(AS_OF))
     return tasks.read_messages(messages).select("page_id", "url", "pubdate", "title")
 
 
+#: Sites of the fetched round: host, task type, deduplication method, whether pages of duplicates end a keyword.
+ROUND_SITES = (
+    ("r1.example.com", requests.BLOG, "LINK", True), ("r2.example.com", requests.FORUM, "TITLE", True), ("r3.example.com", requests.NEWS, "LINK", False), ("r4.example.com", requests.WECHAT, "LINK", False),
+    ("news.baidu.com", requests.NEWS, "LINK", True), (requests.FEED_HOST, requests.NEWS, "LINK", True), ("lost.example.com", "unknown", "LINK", True),
+)
+ROUND_PARSERS = {**requests.PARSERS, (requests.NEWS, "r3.example.com"): requests.Parser("plain", has_summary=False)}
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages as bytes: every seventh a feed, some of an unknown site; every third compressed, some of the others in GBK."""
+    p = F.col("page_id")
+    key = F.col("d.doc_id").cast("string")
+    pages = result_pages(spark, sf_dir).withColumn("url", F.when(p % 11 == 10, F.replace("url", F.lit("r"), F.lit("lost"))).otherwise(F.col("url")))
+    docs = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
+    item = lambda d: F.concat(F.lit("<RESULT><TITLE>Title number "), d["doc_id"].cast("string"), F.lit("</TITLE><PUBLISHTIME>2022-03-04 05:06:07</PUBLISHTIME><SOURCE>s</SOURCE><DOCURL>http://feed.example/"), d["doc_id"].cast("string"), F.lit("</DOCURL></RESULT>"))
+    feed = F.concat(F.lit("<R>"), F.concat_ws("", F.transform("docs", item)), F.lit("</R>"))
+    both = pages.join(docs, "page_id").withColumn("feed", p % 7 == 6)
+    url = F.when(F.col("feed"), F.concat(F.lit(f"http://{requests.FEED_HOST}/q?pn="), p.cast("string"))).when(p % 11 == 10, F.concat(F.lit("http://lost.example.com/s?pn="), p.cast("string"))).otherwise(F.col("url"))
+    gbk = (p % 4 == 1) & ~F.col("feed")
+    page = F.when(F.col("feed"), feed).when(gbk, F.replace("html", F.lit("<head>"), F.lit('<head><meta charset="gbk">'))).otherwise(F.col("html"))
+    raw = F.when(gbk, normalize.encode_body(F.when(gbk, page), "gbk")).otherwise(page.cast("binary"))
+    packed = p % 3 == 0
+    body = F.when(packed, normalize.gzip_bytes(F.when(packed, raw))).otherwise(raw)
+    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), F.when(packed, "Content-Encoding: gzip\r\n").otherwise(""))
+    return both.select(p.alias("fetch_id"), url.alias("url"), body.alias("body"), headers.alias("headers"), F.concat(F.lit("k"), (p % 2).cast("string")).alias("keyword"), p.alias("page_idx"))
+
+
+def _round(spark: SparkSession, sf_dir: str) -> rounds.Round:
+    """A round over the fetched pages; every fourth document was seen before, by its link or its title and summary."""
+    sites = spark.createDataFrame([(f"http://{h}/q?w={{0}}", *rest) for h, *rest in ROUND_SITES], "request_url string, task_type string, dup_method string, stop_turn_page boolean")
+    k = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
+    links = [F.concat(F.lit(f"http://{h}/a/"), k) for h, *_ in ROUND_SITES] + [F.concat(F.lit("http://feed.example/"), k)]
+    titles = F.concat(F.lit("Title number "), k, F.substring(F.md5(k.cast("binary")), 1, 20))
+    seen = docs.select(F.explode(F.array(*links, titles)).alias("dedup_key"))
+    return rounds.fetched_round(_fetched(spark, sf_dir), sites, seen, when(AS_OF), parsers=ROUND_PARSERS)
+
+
+_RF = f"""SELECT doc_id, doc_id // 10 AS p, CASE WHEN (doc_id // 10) % 7 = 6 THEN 'feed' WHEN (doc_id // 10) % 11 = 10 THEN 'lost' ELSE {_RH} END AS host, {_RDATE} AS date FROM documents"""
+_RNEW = "host NOT IN ('lost', 'news.baidu.com') AND doc_id % 4 <> 0"
+
+
+@query(f"""WITH d AS ({_RF}) SELECT p AS fetch_id, CASE WHEN host = 'feed' THEN 'http://feed.example/' ELSE 'http://' || host || '/a/' END || doc_id AS url,
+CASE WHEN host = 'feed' THEN '2022-03-04 05:06' ELSE date END AS pubdate, 'Title number ' || doc_id AS title,
+CASE host WHEN 'r1.example.com' THEN '博客' WHEN 'r2.example.com' THEN '论坛' WHEN 'r4.example.com' THEN '微信' ELSE '新闻' END AS "siteType" FROM d WHERE {_RNEW}""")
+def fetched_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From fetched bytes to messages: compressed, GBK, feed and no-summary pages, each by its site's settings."""
+    return tasks.read_messages(_round(spark, sf_dir).messages).select("fetch_id", "url", "pubdate", "title", "siteType")
+
+
+@query(f"""WITH d AS ({_RF}), c AS (SELECT p, host, 'k' || (p % 2) AS keyword, count(*) FILTER ({_RNEW}) AS new_cnt, count(*) FILTER (NOT ({_RNEW})) AS dup_cnt FROM d WHERE host <> 'lost' GROUP BY ALL),
+s AS (SELECT *, new_cnt = 0 AND dup_cnt > 0 AND host NOT IN ('r3.example.com', 'r4.example.com') AS stop FROM c)
+SELECT p AS fetch_id, keyword, new_cnt, dup_cnt, stop, NOT coalesce(bool_or(stop) OVER (PARTITION BY host, keyword ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS live FROM s""")
+def fetched_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and repeated records of each fetched page, and which pages end their keyword at their site."""
+    return _round(spark, sf_dir).stops(["host", "keyword"]).select("fetch_id", "keyword", "new_cnt", "dup_cnt", "stop", "live")
+
+
+@query(f"""WITH r AS ({_RECORDS}) SELECT page_id, rank, title, link, date FROM r WHERE page_id % 2 = 1""")
+def wrapper_whole_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the odd pages by what the even pages of their host taught, without finding a region."""
+    pages = result_pages(spark, sf_dir)
+    learned = records.learn_wrappers(pages.where("page_id % 2 = 0"), when(AS_OF), 1)
+    found = records.apply_to_pages(pages.where("page_id % 2 = 1"), learned, when(AS_OF))
+    return found.select("page_id", "rank", "title", "link", "date")
+
+
+@query(f"""SELECT 's' || n_nationkey AS site, keyword, 'http://s' || n_nationkey || '.example/q?w=' || CASE WHEN n_nationkey % 2 = 0 THEN '%D6%D0%CE%C4+' ELSE '' END || {_ENC.format("keyword")} || CASE WHEN n_nationkey % 3 = 0 THEN '+%D6%D0' ELSE '+%E4%B8%AD' END AS url
+FROM nation, ({_KW}) k WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 1""")
+def request_plan_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and search prefixes in each site's own charset."""
+    key = F.col("n_nationkey")
+    sites = table(spark, sf_dir, "nation").where((key % 3 == 0) | (key % 2 == 1)).select(
+        F.concat(F.lit("s"), key.cast("string")).alias("site"), F.concat(F.lit("http://s"), key.cast("string"), F.lit(".example/q?w={0}")).alias("request_url"), F.when(key % 2 == 0, "中文").otherwise("").alias("search_in_site"),
+        F.when(key % 3 == 0, "GBK").otherwise("UTF-8").alias("encode_type"), F.lit(1).alias("page_start"), F.lit(1).alias("page_increase"), F.lit(1).alias("page_total"), F.lit("").alias("post_data"),
+    )
+    words = _keywords(spark, sf_dir)
+    plan = requests.plan_requests(sites, words.select(F.concat("keyword", F.lit(" 中")).alias("keyword")))
+    return plan.select("site", F.regexp_replace("keyword", " 中$", "").alias("keyword"), "url")
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'feed' WHEN 1 THEN 'news' WHEN 5 THEN NULL ELSE 'search' END AS parser FROM nation""")
 def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, (requests.NEWS, requests.NEWS, requests.BLOG, requests.FORUM, requests.WECHAT, "unknown")))

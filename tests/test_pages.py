@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanmill.operators import dom, page, records, stops
-from gleanmill.plans import requests
+from gleanmill.plans import requests, rounds
 from gleanmill.sources import files
+from gleanmill.sources.shared import small
+from gleanmill.streaming import streams
 
 
 def tags(html):
@@ -30,7 +32,7 @@ def test_units_leave_out_useless_and_blank():
 def test_text_units_relation_agrees_with_the_tree(spark):
     html = '<html><body><div>ab <b>cd</b><script>x</script></div><a href="/x">link<i>in</i></a><p style="display:none">no</p></body></html>'
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
-    got = {r["unit"]: (r["total_bytes"], r["plain_bytes"]) for r in dom.text_units(dom.dom_nodes(pages)).collect()}
+    got = {r["unit"]: (r["total_bytes"], r["plain_bytes"]) for r in dom.text_units(pages).collect()}
     root = dom.parse(html)
     units = dom.Units(root)
     assert got == {x.ordinal: (units.size(x), units.size(x, 1)) for x in root.walk() if not x.is_text and units.has(x)}
@@ -130,3 +132,100 @@ def test_fetched_stream_and_batch_agree(spark, tmp_path):
     out = []
     stream.writeStream.foreachBatch(lambda b, _: out.extend(r["fetch_id"] for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == sorted(r["fetch_id"] for r in files.read_fetched(spark, folder).collect()) == [1, 3, 5]
+
+
+ITEM = "<div><h3><a href='/{0}'>A title that is long {0}</a></h3><p>" + "words " * 20 + "</p></div>"
+ITEMS = "".join(ITEM.format(k) for k in range(5))
+HARD_PAGES = {
+    "deep": "<html><body>" + "<div><i>x</i>" * 5000 + "<a href='/1'>a title that is long</a> words" + "</div>" * 5000 + "</body></html>",
+    "wide": "<html><body><div>" + "<p><a href='/1'>a link text that is long</a> some words</p>" * 50_000 + "</body></html>",
+    "unclosed": "<html><body>" + "<b><a href='/x'>some text" * 4000,
+    "records far down": "<div>" * 900 + ITEMS,
+    "open items": "<ul><li>" + "<b>" * 5000 + "<li>" * 20_000,
+    "loose ends": "<b>" * 5000 + "</x>" * 50_000 + "</i>" * 50_000,
+    "many roots": "<html>" * 3000 + "x",
+    "declarations": "<![foo[x]]>a<![foo bar>b<![CDATA[c>d]]>e<![if !IE]>f<![endif]><![",
+    "cut off": "<p>a<![foo",
+}
+
+
+def test_hard_pages(spark):
+    """Deep, wide and malformed pages neither crash nor take time that grows with the square of their nodes."""
+    import time
+
+    began = time.time()
+    pages = spark.createDataFrame([(k, "http://h/s?p=1", html) for k, html in enumerate(HARD_PAGES.values())], "page_id long, url string, html string").repartition(4)
+    parts = records.record_parts(pages).groupBy("page_id").count().collect()
+    assert {list(HARD_PAGES)[r["page_id"]]: r["count"] for r in parts} == {"wide": 50_000, "records far down": 5}
+    facts = {list(HARD_PAGES)[r["page_id"]]: r for r in page.page_facts(pages, *page._FACTS).collect()}
+    assert facts["declarations"]["content"].replace(" ", "").startswith("abef") and len(facts["wide"]["links"]) == 50_000
+    assert dom.dom_nodes(pages.where("page_id <> 0")).count() > 200_000
+    assert time.time() - began < 90
+
+
+def test_paths_and_numbers():
+    root = dom.parse("<div><p>a<p>b<i>c</i><p>d</div>")
+    paths = {x.text: x.path for x in root.walk() if x.is_text}
+    assert paths["c"] == "#document[1]/div[1]/p[2]/i[1]/text()[1]" and paths["d"] == "#document[1]/div[1]/p[3]/text()[1]"
+    assert [x.tag for x in records.at_path(root, "div/p[2]/i")] == ["i"] and len(records.at_path(root, "div/p")) == 3 and records.at_path(root, "ul/li") == []
+
+
+def test_a_round_parses_each_page_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pages = spark.createDataFrame([(1, "http://h/s", f"<html><body><div>{ITEMS}</div></body></html>")], "page_id long, url string, html string")
+    seen = spark.createDataFrame([("http://h/2",)], "dedup_key string")
+    assert plan(records.record_parts(pages)).count("MapInArrow") == 1
+    new, messages = rounds.pages_round(pages, seen, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r["link"] for r in new.collect()) == [f"http://h/{k}" for k in (0, 1, 3, 4)] and messages.count() == 1
+    assert "MapInArrow" not in plan(messages)
+
+
+def test_settings_of_sites_hold(spark):
+    """Unknown hosts and damaged bodies are left out; a TITLE site tells records apart by title and summary; empty pages count."""
+    html = f"<html><head></head><body><div>{ITEMS}</div></body></html>".encode()
+    rows = [(1, "http://a.example/s", html, "", 0), (2, "http://b.example/s", html, "", 0), (3, "http://c.example/s", html, "", 0), (4, "http://a.example/s", b"\x1f\x8bbad", "X: y\r\nContent-Encoding: gzip\r\n", 1), (5, "http://a.example/s", b"nothing", "", 2)]
+    fetched = spark.createDataFrame(rows, "fetch_id long, url string, body binary, headers string, page_idx int")
+    sites = spark.createDataFrame([("http://a.example/q", requests.BLOG, "LINK", True), ("http://b.example/q", requests.FORUM, "TITLE", False), ("http://a.example/z", requests.FORUM, "TITLE", False)], "request_url string, task_type string, dup_method string, stop_turn_page boolean")
+    seen = spark.createDataFrame([("http://a.example/1",), ("A title that is long 2" + ("words " * 20)[:20],)], "dedup_key string")
+    found = rounds.fetched_round(fetched, sites, seen, F.lit("2024-01-01").cast("timestamp"))
+    new = {(r["fetch_id"], r["link"]) for r in found.new.collect()}
+    assert new == {(1, f"http://a.example/{k}") for k in (0, 2, 3, 4)} | {(2, f"http://b.example/{k}") for k in (0, 1, 3, 4)}
+    counts = {r["fetch_id"]: (r["new_cnt"], r["dup_cnt"], r["stop_turn_page"]) for r in found.counts.collect()}
+    assert counts == {1: (4, 1, True), 2: (4, 1, False), 4: (0, 0, True), 5: (0, 0, True)}
+    assert {r["fetch_id"]: r["stop"] for r in found.stops(["host"]).collect()} == {1: False, 2: False, 4: False, 5: False}
+
+
+def test_broadcasts_are_bounded(spark):
+    plan = lambda most: spark.range(9).join(small(spark.range(5), most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(5) and "broadcast" not in plan(4)
+
+
+def test_requests_chain_over_pages(spark):
+    rows = [("s", i, k, f"u{i}{k}") for i in (0, 1, 3) for k in "ab"] + [("t", 0, "a", "v")]
+    chain = requests.request_chain(spark.createDataFrame(rows, "site string, page_idx int, keyword string, url string"))
+    assert {r["url"]: r["previous_url"] for r in chain.collect()} == {"u0a": None, "u0b": "u0a", "u1a": "u0b", "u1b": "u1a", "u3a": "u1b", "u3b": "u3a", "v": None}
+
+
+def test_messages_are_posted_at_intervals(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("m1",), ("m2",)], "tasks_json string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("tasks_json string").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+
+    def send(lines):
+        import uuid
+
+        with open(f"{out}-{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(lines))
+
+    run = streams.post_messages(stream, str(tmp_path / "c"), send, "1 second")
+    spark.createDataFrame([("m3",)], "tasks_json string").write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    for _ in range(60):
+        got = sorted(line for f in tmp_path.glob("out-*") for line in f.read_text().split("\n") if line)
+        if len(got) == 3:
+            break
+        time.sleep(0.5)
+    run.stop()
+    assert got == ["m1", "m2", "m3"]
