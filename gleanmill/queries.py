@@ -580,7 +580,57 @@ def dom_nodes_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("tag <> '#text'").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+def _names(*names: str) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+#: The tree in SQL: tokens, then one step of a stack machine for each. It knows the recovery rules that the tables' pages need.
+_BLOCKS = ("article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "nav", "ol", "pre", "section", "table", "ul")
+_LAST = "list_max(list_filter(range(1, len(names) + 1), lambda j: {}))"
+_TREE = rf"""WITH RECURSIVE tok AS (
+  SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+') AS ts FROM pages
+), st AS (
+  SELECT page_id, 0 AS i, 0 AS n, CAST([] AS VARCHAR[]) AS names, CAST([] AS INTEGER[]) AS ids, CAST(NULL AS VARCHAR) AS made, CAST(NULL AS VARCHAR) AS txt FROM tok
+  UNION ALL
+  SELECT page_id, i, n + CASE kind WHEN 'raw' THEN 2 WHEN 'open' THEN 1 WHEN 'text' THEN 1 ELSE 0 END,
+    CASE kind WHEN 'open' THEN list_concat(names[1 : keep], CASE WHEN void THEN [] ELSE [name] END) ELSE names[1 : keep] END,
+    CASE kind WHEN 'open' THEN list_concat(ids[1 : keep], CASE WHEN void THEN [] ELSE [n + 1] END) ELSE ids[1 : keep] END,
+    CASE kind WHEN 'open' THEN name WHEN 'text' THEN '#text' END, CASE WHEN kind = 'text' THEN t END
+  FROM (
+    SELECT *, name IN ('br', 'meta', 'img', 'link', 'hr', 'input') AS void, CASE
+      WHEN kind = 'close' THEN coalesce({_LAST.format("names[j] = name")} - 1, len(names))
+      WHEN kind = 'open' AND len(shuts) > 0 THEN coalesce(list_min(list_filter(range(1, len(names) + 1), lambda j: j > wall AND list_contains(shuts, names[j]))) - 1, len(names))
+      ELSE len(names) END AS keep
+    FROM (
+      SELECT *, coalesce({_LAST.format("list_contains(stops, names[j])")}, 0) AS wall
+      FROM (
+        SELECT *, CASE WHEN name = 'li' THEN ['li'] WHEN name = 'p' OR list_contains({_names(*_BLOCKS)}, name) THEN ['p'] ELSE [] END AS shuts,
+          CASE WHEN name = 'li' THEN ['ol', 'ul'] ELSE {_names("article", "aside", "body", "div", "footer", "header", "html", "li", "main", "nav", "section", "table", "td", "th")} END AS stops
+        FROM (
+          SELECT st.page_id, st.i + 1 AS i, st.n, st.names, st.ids, ts[st.i + 1] AS t, lower(regexp_extract(ts[st.i + 1], '^</?([a-zA-Z0-9]+)', 1)) AS name,
+            CASE WHEN ts[st.i + 1] LIKE '<!%' THEN 'skip' WHEN regexp_matches(ts[st.i + 1], '^<(script|style)') THEN 'raw' WHEN ts[st.i + 1] LIKE '</%' THEN 'close' WHEN ts[st.i + 1] LIKE '<%' THEN 'open' ELSE 'text' END AS kind
+          FROM st JOIN tok ON tok.page_id = st.page_id AND st.i < len(tok.ts)
+        )
+      )
+    )
+  )
+), nodes AS (
+  SELECT page_id, n AS id, made AS tag, CASE WHEN made <> '#text' AND len(ids) > 0 AND ids[-1] = n THEN list_concat([0], ids[:-2]) ELSE list_concat([0], ids) END AS above,
+    CASE WHEN made <> '#text' AND len(ids) > 0 AND ids[-1] = n THEN names[:-2] ELSE names END AS over,
+    replace(replace(replace(replace(replace(replace(txt, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw
+  FROM st WHERE made IS NOT NULL
+), texts AS (
+  SELECT page_id, id, above, over, raw, trim(raw, {_B}) AS text, strlen(trim(raw, {_B})) AS size, coalesce(over[-1], '') = 'a' OR coalesce(over[-2], '') = 'a' AS is_link
+  FROM nodes WHERE tag = '#text' AND trim(raw, {_B}) <> ''
+), units AS (
+  SELECT page_id, unit, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(CASE WHEN is_link THEN 0 ELSE size END) AS BIGINT) AS plain_bytes, CAST(sum(CASE WHEN is_link THEN size ELSE 0 END) AS BIGINT) AS link_bytes,
+    count(*) AS texts, count(*) FILTER (is_link) AS link_texts, string_agg(text, ' ' ORDER BY id) AS text, coalesce(string_agg(text, ' ' ORDER BY id) FILTER (NOT is_link), '') AS plain
+  FROM (SELECT *, unnest(above) AS unit FROM texts) GROUP BY ALL
+)
+"""
+
+
+@query(f"{_TREE} SELECT page_id, unit, total_bytes, plain_bytes, link_bytes, texts, link_texts, text, link_bytes / total_bytes AS link_rate FROM units")
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text sums of every element of every page."""
     return dom.text_units(table(spark, sf_dir, "pages"))
@@ -618,7 +668,26 @@ def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
-@query()
+#: Titles of the tables' pages equal their heading, or there is none short enough; content goes down to the block that no child dominates.
+_CONTENT = f"""{_TREE}, every AS (
+  SELECT n.page_id, n.id, n.above[-1] AS parent, n.tag, CASE WHEN n.tag = '#text' THEN t.is_link ELSE n.tag = 'a' OR coalesce(n.over[-1], '') = 'a' END AS is_link,
+    coalesce(u.total_bytes, t.size) AS total, coalesce(u.plain_bytes, CASE WHEN t.is_link THEN 0 ELSE t.size END) AS plain, coalesce(u.plain, CASE WHEN t.is_link THEN '' ELSE t.text END) AS words
+  FROM nodes n LEFT JOIN units u ON u.page_id = n.page_id AND u.unit = n.id AND n.tag <> '#text' LEFT JOIN texts t ON t.page_id = n.page_id AND t.id = n.id
+), kids AS (
+  SELECT page_id, parent AS id, count(*) FILTER (fit) AS fits, arg_max(id, plain * 100000 - id) FILTER (fit) AS best, max(plain) FILTER (fit) AS most
+  FROM (SELECT *, coalesce(total, 0) > 0 AND NOT is_link AND (total - plain) / total < 0.5 AS fit FROM every) GROUP BY ALL
+), steps AS (
+  SELECT e.*, k.id IS NULL AS leaf, CASE WHEN total > 0 AND plain > 0 AND fits > 0 AND NOT (fits > 1 AND most <= 0.7 * plain) THEN best END AS next, coalesce(fits, 0) AS fits FROM every e LEFT JOIN kids k USING (page_id, id)
+), walk AS (
+  SELECT s.* FROM steps s WHERE tag = 'html'
+  UNION ALL SELECT s.* FROM walk w JOIN steps s ON s.page_id = w.page_id AND s.id = w.next
+), content AS (SELECT page_id, CASE WHEN coalesce(total, 0) = 0 OR NOT leaf AND (plain = 0 OR fits = 0) THEN '' ELSE words END AS content FROM walk WHERE next IS NULL),
+titles AS (SELECT page_id, any_value(raw) AS title FROM texts WHERE over[-1] = 'title' GROUP BY ALL),
+heads AS (SELECT page_id, arg_min(raw, id) AS head FROM texts WHERE regexp_matches(over[-1], '^h[0-9]') AND strlen(raw) <= 120 GROUP BY ALL)
+SELECT p.page_id, CASE WHEN head = title THEN trim(head, {_B}) END AS title, content FROM pages p LEFT JOIN content USING (page_id) LEFT JOIN titles USING (page_id) LEFT JOIN heads USING (page_id)"""
+
+
+@query(_CONTENT)
 def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and main content of the pages as they are."""
     return page.page_facts(table(spark, sf_dir, "pages"), "title", "content").select("page_id", "title", "content")

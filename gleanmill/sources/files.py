@@ -31,7 +31,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.dat", recursi
 
 
 def parse_site(name: str, text: str) -> tuple | None:
-    """A site from its template; None without a usable REQUEST_URL. Headers are a JSON object; 'None' stands for nothing."""
+    """A site from its template; None without a usable REQUEST_URL. Headers are a JSON object; 'None' stands for nothing, and for a number that is none its default holds."""
     parser = configparser.RawConfigParser(strict=False)
     parser.optionxform = str
     parser.read_string(text)
@@ -39,13 +39,20 @@ def parse_site(name: str, text: str) -> tuple | None:
     get = lambda k: (v if (v := own.get(k, "").strip()) not in ("", "None") else SITE_DEFAULTS[k])
     if len(get("REQUEST_URL")) < 10:
         return None
+
+    def number(k: str) -> int:
+        try:
+            return int(get(k))
+        except ValueError:
+            return int(SITE_DEFAULTS[k])
+
     try:
         headers = {str(k): str(v) for k, v in json.loads(get("REQUEST_HEADERS")).items()}
     except (ValueError, AttributeError):
         headers = {}
     return (
-        name, get("TASK_TYPE"), get("REQUEST_URL"), get("SEARCH_IN_SITE"), get("ENCODE_TYPE"), get("DUP_METHOD").upper(), int(get("PAGE_START")), int(get("PAGE_INCREACE_CNT")), int(get("PAGE_TOTAL_CNT")),
-        get("STOP_TURN_PAGE").lower() == "true", int(get("TIMEOUT_SEC")) or 40, int(get("FETCH_INTERVAL_SEC")), int(get("FETCH_THREAD_NUM")), get("POST_DATA"), headers,
+        name, get("TASK_TYPE"), get("REQUEST_URL"), get("SEARCH_IN_SITE"), get("ENCODE_TYPE"), get("DUP_METHOD").upper(), number("PAGE_START"), number("PAGE_INCREACE_CNT"), number("PAGE_TOTAL_CNT"),
+        get("STOP_TURN_PAGE").lower() == "true", number("TIMEOUT_SEC") or 40, number("FETCH_INTERVAL_SEC"), number("FETCH_THREAD_NUM"), get("POST_DATA"), headers,
     )
 
 

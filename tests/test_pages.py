@@ -102,6 +102,11 @@ REQUEST_HEADERS = {"User-Agent": "x"}
 """
 
 
+def test_a_bad_number_takes_its_default():
+    row = files.parse_site("x", SITE.replace("PAGE_TOTAL_CNT = 2", "PAGE_TOTAL_CNT = many"))
+    assert row[8] == 50 and files.parse_site("x", "[TEMPLATE]\nREQUEST_URL = None\n") is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.dat").write_text(SITE)
     (tmp_path / "b.dat").write_text("[TEMPLATE]\nREQUEST_URL = short\n")
