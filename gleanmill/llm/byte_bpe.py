@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pandas as pd
 import public_tokenizers
@@ -206,7 +207,7 @@ class PieceTable:
 
 
 class TextTable:
-    """A growing text's encoding: an append splits anew from the last two pieces, the only ones that it can change."""
+    """A changing text's encoding. What follows a piece can change it and the one before, no others: so an append splits anew from the last two pieces, and an edit from two before it up to where pieces begin as they did."""
 
     def __init__(self, codec: Codec, text: str = ""):
         self.codec, self.pieces = codec, []
@@ -217,6 +218,25 @@ class TextTable:
         del self.pieces[-2:]
         self.pieces += [(p, self.codec.encode_piece(p.encode())) for p in self.codec.split.findall(tail)]
 
+    def edit(self, start: int, stop: int, by: str) -> int:
+        """Replaces characters ``start`` to ``stop``; returns how many pieces were encoded anew."""
+        ends = list(accumulate((len(p) for p, _ in self.pieces), initial=0))
+        if not 0 <= start <= stop <= ends[-1]:
+            raise ValueError("no such characters")
+        first = max(0, bisect_right(ends, start) - 3)
+        at, shift = ends[first], len(by) - (stop - start)
+        tail = "".join(p for p, _ in self.pieces[first:])
+        tail = tail[: start - at] + by + tail[stop - at :]
+        number, fresh, rest = {end: k for k, end in enumerate(ends)}, [], []
+        for m in self.codec.split.finditer(tail):
+            now = at + m.start()
+            if now >= start + len(by) and (k := number.get(now - shift)) is not None:
+                rest = self.pieces[k:]
+                break
+            fresh.append((m[0], self.codec.encode_piece(m[0].encode())))
+        self.pieces[first:] = fresh + rest
+        return len(fresh)
+
     @property
     def ids(self) -> list[int]:
         return [k for _, ids in self.pieces for k in ids]

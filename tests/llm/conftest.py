@@ -13,8 +13,21 @@ def odd(spark):
     wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     from pyspark.sql import functions as F
 
-    clashing = {c: F.lit("clash") for c in ("kept", "fp", "component_id", "text_sha256", "keep_id", "group_size", "blob", "findings", "slot_id", "_key", "length", "piece", "score", "held_out", "n_words")}
-    return wide.withColumns(clashing)
+    names = """kept fp component_id text_sha256 keep_id group_size blob findings spans slot shard part length piece score held_out n_words row key sha node root place least n known hits share
+    _key _sha _blob _found _spans _text _y _k _d _n _c _hot _hot_key _cold _place _part _refers_to _digest _payload _url a b s t d k v m u""".split()
+    return wide.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+
+
+@pytest.fixture(scope="session")
+def unchanged(odd):
+    """Asserts that rows are rows of ``odd`` with every value they had, but for the columns left out."""
+
+    def check(df, *but):
+        columns = [c for c in odd.columns if c not in but]
+        assert [c for c in df.columns if c not in but] == columns
+        assert df.select(*columns).exceptAll(odd.select(*columns)).count() == 0
+
+    return check
 
 
 @pytest.fixture(scope="session")

@@ -100,6 +100,24 @@ def test_bpe_appends(codec, reference):
         assert grown.ids == reference.encode_ordinary("".join(parts))
 
 
+def test_bpe_edits_of_texts(codec, reference):
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choice("ab 'lrevts\n\t12.é") for _ in range(rng.randint(0, most)))
+    for _ in range(300):
+        text = word(40)
+        held = byte_bpe.TextTable(codec, text)
+        for _ in range(6):
+            start = rng.randint(0, len(text))
+            stop, by = rng.randint(start, min(len(text), start + 8)), word(6)
+            held.edit(start, stop, by)
+            text = text[:start] + by + text[stop:]
+            assert "".join(p for p, _ in held.pieces) == text and held.ids == reference.encode_ordinary(text), repr(text)
+    long = byte_bpe.TextTable(codec, "some words of a text " * 2000)
+    assert long.edit(20_000, 20_004, "other") < 12
+    with pytest.raises(ValueError):
+        long.edit(5, 4, "")
+
+
 def test_bpe_query(spark, odd, as_table, reference):
     import hashlib
 
@@ -123,6 +141,62 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def slow_grams(text):
+    """Letter trigrams by a walk over characters; breaks are spaces."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(letters.split())} " if letters.strip() else ""
+    return Counter(padded[k : k + 3] for k in range(len(padded) - 2))
+
+
+def slow_vector(p, text):
+    """The bundle of a text's bound letters, from the definition."""
+    out = np.zeros(p.dimensions)
+    for gram, n in slow_grams(text).items():
+        bound = np.ones(p.dimensions)
+        for place, c in enumerate(reversed(gram)):
+            bound = bound * np.roll(p._letter(ord(c)), place)
+        out += n * bound
+    return out
+
+
+def test_language_by_brute_force(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    p = language_id.Profiles()
+    held = {d["doc_id"]: zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1 for d in docs}
+    vectors = {d["doc_id"]: slow_vector(p, d["text"] or "") for d in docs}
+    total = {}
+    for d in docs:
+        v = vectors[d["doc_id"]]
+        if not held[d["doc_id"]] and d["lang"] is not None and v.any():
+            total[d["lang"]] = total.get(d["lang"], 0) + v / np.linalg.norm(v)
+    names = sorted(total)
+    got = {r["doc_id"]: r for r in language_id.op6_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for key, v in vectors.items():
+        r = got[key]
+        assert r["held_out"] == held[key]
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosines = [float(total[n] @ v / np.linalg.norm(total[n]) / np.linalg.norm(v)) for n in names]
+        best = int(np.argmax(cosines))
+        assert r["score"] == pytest.approx(max(0, cosines[best]), abs=1e-4)
+        assert r["lang_pred"] == names[best] or sorted(cosines)[-1] - cosines[names.index(r["lang_pred"])] < 1e-4
+
+
+def test_rare_languages_are_learned(spark):
+    text = "some words of a language that is spoken by {}"
+    rows = [(k, text.format("many"), "en") for k in range(3000)] + [(10_000 + k, "wenige zeilen haben diese sprache", "de") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.learn(df, rows=100)) == {"de", "en"}
+    for gram in (0, 4):
+        with pytest.raises(ValueError):
+            language_id.Profiles(64, gram)
+
+
 def test_language_edges(spark, odd, as_table):
     got = language_id.op6_language_id(spark, as_table(odd)).collect()
     assert len(got) == odd.count() and sum(r["lang_pred"] == "und" for r in got) == 4
@@ -152,6 +226,77 @@ def test_classifier_held_out(spark):
     assert (good[:, None] > bad[None]).mean() > 0.98
 
 
+def slow_features(text):
+    """The features by characters and tuples."""
+    import math
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, counts = len(words), len(text), Counter(words)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n if n else 0
+    lines = [x for x in text.split("\n") if x.strip()]
+    windows = [tuple(words[k : k + 5]) for k in range(n - 4)]
+    share = lambda hit: math.sqrt(sum(map(hit, text)) / max(1, chars))
+    return [
+        math.log1p(chars), math.log1p(n), math.log1p(mean), math.log1p(math.sqrt(sum((s - mean) ** 2 for s in sizes) / n)) if n else 0, math.log1p(len(counts)) - math.log1p(n),
+        math.sqrt(max(counts.values()) / n) if n else 0, -sum(c / n * math.log(c / n) for c in counts.values()) / math.log1p(n) if n else 0, sum(s <= 3 for s in sizes) / n if n else 0,
+        math.log1p(chars / max(1, len(lines))), math.sqrt(1 - len(set(lines)) / max(1, len(lines))), math.sqrt(1 - len(set(windows)) / max(1, len(windows))) if words else math.sqrt(1 - len(set(windows)) / max(1, len(windows))),
+        share(lambda c: c.lower() != c), math.sqrt((len(text.encode()) - chars) / max(1, chars)), *(share(lambda c, k=kind: c in k) for kind in quality_classifier.KINDS.values()),
+    ]
+
+
+TEXTS = st.text(st.sampled_from("abAZ İΣßé中\U0001f600\n\t |#!19.,_"), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_features_by_brute_force(text):
+    assert np.allclose(quality_classifier.features(text), slow_features(text), atol=1e-9)
+
+
+def test_scores_by_brute_force(spark):
+    """Every score of a table from slow features, covariances by definition and a logistic curve by bisection."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in docs}
+    used = [(d, y) for d, y in labels if d in docs and not held[d] and y in (0, 1)]
+    x, y = np.array([slow_features(docs[d]) for d, _ in used]), np.array([q for _, q in used])
+    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = lambda v: np.clip((v - centre) / scale, -8, 8)
+    own = [z(x[y == k]) for k in (0, 1)]
+    pooled = sum(np.cov(v.T, bias=True) * len(v) for v in own) / (len(x) - 2)
+    q = quality_classifier
+    pooled = (1 - q.TO_DIAGONAL) * pooled + q.TO_DIAGONAL * np.diag(np.diag(pooled))
+    shrunk = [(1 - q.TO_POOLED) * np.cov(v.T) + q.TO_POOLED * pooled + q.RIDGE * np.eye(len(centre)) for v in own]
+
+    def difference(v):
+        d = [z(v) - o.mean(axis=0) for o in own]
+        logs = [-0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e) + np.linalg.slogdet(c)[1]) for e, c in zip(d, shrunk, strict=True)]
+        return logs[1] - logs[0]
+
+    d = difference(x)
+    curve = lambda t: 1 / (1 + np.exp(-np.clip(t, -50, 50)))
+
+    def bisect(f, low, high):
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if f(middle) < 0 else (low, middle)
+        return low
+
+    shift_of = lambda a: bisect(lambda b: (curve(a * d + b) - y).sum(), -200, 200)
+    slope = bisect(lambda a: ((curve(a * d + shift_of(a)) - y) * d).sum() + 1e-3 * a, 0, 50)
+    shift = shift_of(slope)
+    got = {r["doc_id"]: r for r in q.op7_quality_classifier(spark, sf).collect()}
+    expected = curve(slope * difference(np.array([slow_features(docs[k]) for k in got])) + shift)
+    assert np.allclose([r["score"] for r in got.values()], expected, atol=2e-3)
+    assert all(r["held_out"] == held[k] and r["predicted"] == (r["score"] >= 0.3) for k, r in got.items())
+
+
 def test_classifier_edges(spark, odd, as_table):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (6, 0), (None, 1), (8, None)], "doc_id long, quality int")
     got = quality_classifier.op7_quality_classifier(spark, as_table(odd, labels=labels)).collect()
