@@ -81,7 +81,8 @@ class DigestIndex:
         other = f"{self.name}_compacted"
         if self.exists():
             self.spark.sql(f"DROP TABLE IF EXISTS {other}")
-            self._write(self.read(), other, "errorifexists")
+            # Checkpointed, or the planner drops the exchange since the table is bucketed, and then reads it without its buckets.
+            self._write(checkpointed(self.read()), other, "errorifexists")
             self.drop()
         self.spark.sql(f"ALTER TABLE {other} RENAME TO {self.name}")
 
