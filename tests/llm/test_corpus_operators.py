@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
+from test_shingle_sets import slow_groups
 from gleanmill.llm import exact_dedup, packing, secrets, simhash, warc
+from gleanmill.llm.common import checkpointed
 
 
 # SimHash
@@ -204,6 +206,23 @@ def test_bin_completion_finds_optima_of_repeated_lengths(seed):
         assert sum(t for _, t in packing.complete_bins(np.bincount(sizes, minlength=41), 40)) == optimum(sizes, 40)
 
 
+def test_bin_completion_finds_optima_of_many_instances():
+    """5,000 instances of 9 to 15 pieces; those that reach the lower bound need no search to know their optimum."""
+    rng = np.random.default_rng(11)
+    searched = 0
+    for _ in range(5000):
+        capacity = int(rng.integers(20, 60))
+        sizes = sorted(rng.integers(max(1, capacity // 12), capacity // 2 + 2, int(rng.integers(9, 16))).tolist(), reverse=True)
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        used = sum(t for _, t in packing.complete_bins(counts, capacity))
+        bound = packing.lower_bound(counts, capacity)
+        if used > bound:
+            searched += 1
+            assert used == optimum(sizes, capacity), (capacity, sizes)
+    assert searched > 20
+    assert sum(t for _, t in packing.complete_bins(np.bincount([22, 21, 21, 19, 18, 18, 13, 11, 10, 10, 10, 6, 5], minlength=47), 46)) == 4
+
+
 def test_bin_completion_is_never_worse_than_best_fit():
     rng = np.random.default_rng(6)
     for _ in range(5):
@@ -370,6 +389,16 @@ def test_exact_edges(spark, odd, as_table):
     assert exact_dedup.op9_exact_dedup(spark, as_table(odd.limit(0))).count() == 0
 
 
+def test_queries_load_in_parts(spark, sf, monkeypatch):
+    """Both native queries go through an index or ledger that has something already."""
+    seen = {"index": [], "ledger": []}
+    unseen, scanned = exact_dedup.DigestIndex.unseen, secrets.BlobLedger.scanned
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda self, groups: seen["index"].append(self.exists()) or unseen(self, groups))
+    monkeypatch.setattr(secrets.BlobLedger, "scanned", lambda self: seen["ledger"].append(self.spark.table(self.name).count()) or scanned(self))
+    assert exact_dedup.op9_exact_dedup(spark, sf).count() == secrets.op10_secret_scan(spark, sf).count() > 0
+    assert seen["index"] == [False, True] and len(seen["ledger"]) == 2 and 0 < seen["ledger"][0] < seen["ledger"][1]
+
+
 def test_index_persists(spark, odd):
     index = exact_dedup.DigestIndex(spark, "digests_of_a_test", buckets=3)
     index.drop()
@@ -379,8 +408,15 @@ def test_index_persists(spark, odd):
         assert sorted(r["doc_id"] or -1 for r in exact_dedup.deduplicate(odd, index).collect()) == [-1, 5, 6, 7, 8]
         assert exact_dedup.deduplicate(odd, index).count() == 0
         assert index.read().count() == index.read().select("text_sha256").distinct().count() == 7
-        plan = index.unseen(exact_dedup.digest_groups(odd))._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        groups = checkpointed(exact_dedup.digest_groups(odd))
+        plan = index.unseen(groups)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+        assert "Aggregate" not in plan  # the groups were made before: the join isn't pushed below them
+        before = sorted(map(tuple, index.read().collect()))
+        index.compact()
+        assert sorted(map(tuple, index.read().collect())) == before
+        assert len(index.read().inputFiles()) <= 3
+        assert exact_dedup.deduplicate(odd, index).count() == 0
     finally:
         index.drop()
 
@@ -464,10 +500,7 @@ def test_stages_by_brute_force(spark, sf, tmp_path):
             now = {d: now[d] for d in last.values()}
         elif name == "simhash_dedup":
             ids = sorted(now)
-            roots, first = slow_roots([slow_fingerprint(now[d]["text"]) for d in ids]), {}
-            for d, r in zip(ids, roots, strict=True):
-                first.setdefault(r, d)
-            now = {d: now[d] for d in first.values()}
+            now = {ids[k]: now[ids[k]] for k in set(slow_groups([now[d]["text"] for d in ids]))}
         elif name == "secret_scan":
             changed = {r["doc_id"] for r in got if r["text"] != now[r["doc_id"]]["text"]}
             assert changed == {d for d, r in now.items() if slow_spans(r["text"])} and all(r["n_chars"] == len(r["text"]) for r in got if r["doc_id"] in changed)
