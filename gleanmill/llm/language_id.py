@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 DIMENSIONS, GRAM = 1024, 3
-#: About so many rows are learned from, evenly over all labelled ones by a hash of the id.
+#: About so many rows are learned from: of each language as many as it has, up to an even share of what rarer ones leave; chosen by a hash of the id.
 TRAINING_ROWS = 20_000
 #: N-gram vectors that a worker remembers; a kilobyte each.
 REMEMBERED = 40_000
@@ -37,6 +37,8 @@ class Profiles:
     """Vectors of n-grams and of texts."""
 
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM):
+        if not 1 <= gram <= 3:
+            raise ValueError("n-grams of one to three letters: three code points of 21 bits fit a number")
         self.dimensions, self.gram = dimensions, gram
         self.rows: dict[int, int] = {}
         self.vectors = np.empty((1024, dimensions), dtype=np.int8)
@@ -107,14 +109,19 @@ def held_out(key: str = "doc_id") -> Column:
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAINING_ROWS, dimensions: int = DIMENSIONS, gram: int = GRAM) -> dict[str, np.ndarray]:
     """A prototype for each language of the rows with a language, which must not include held-out ones.
 
-    With more than ``rows`` of them, those whose key's hash falls into an even
-    share of that size are used. Sums are made by language and dimension
+    With more than ``rows`` of them, a language with more rows than its share
+    gives those whose key's hash falls into that share; rare ones give all. Sums are made by language and dimension
     before the shuffle; what comes to the driver is a vector for each language.
     """
-    usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, rows / max(1, usable.select(key).count()))
-    if share < 1:
-        usable = usable.where(F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    spark = df.sparkSession
+    usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    # A row for each language, as the prototypes are.
+    held, left, share = sorted((r["n"], r["lang"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()), rows, {}
+    for k, (n, name) in enumerate(held):
+        share[name] = min(1.0, left / (len(held) - k) / n)
+        left -= n * share[name]
+    shares = spark.createDataFrame([(name, int(x * (1 << 30))) for name, x in share.items()], "lang string, share long")
+    usable = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) < F.col("share"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, total = profiles(dimensions, gram), {}
@@ -126,7 +133,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(sums, "lang string, v array<double>")
+    parts = usable.select("lang", "text").mapInArrow(sums, "lang string, v array<double>")
     # Rounded to whole numbers, sums don't depend on the order in which tasks end.
     parts = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum(F.round(F.col("x") * (1 << 20)).cast("long")).alias("x"))
     out: dict[str, np.ndarray] = {}
