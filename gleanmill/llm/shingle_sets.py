@@ -1,10 +1,14 @@
 """Near copies by the Jaccard similarity of their sets of five-word shingles.
 
-Candidates come from MinHash bands: a set has ``BANDS`` keys, each of the least
-members under ``ROWS`` hash functions, and two sets of similarity j have a key
-in common with probability 1 - (1 - j ** ROWS) ** BANDS: 0.99993 for j = 0.8.
-What they only share a passage for hardly ever meets. Candidates are verified
-on whole sets, so no false pair counts.
+Candidates come from ``simhash`` first: each set has a fingerprint, and sets
+whose fingerprints its deletion variants link, by any chain, have the number of
+that group as a key in common; those of a crowded variant have the variant.
+Fingerprints of similarity 0.8 differ in about ten bits, beyond its reach, so a
+set has ``BANDS`` more keys, of MinHash bands, each of the least members under
+``ROWS`` hash functions; two sets of similarity j have one of these in common
+with probability 1 - (1 - j ** ROWS) ** BANDS: 0.99993 for j = 0.8. What they
+only share a passage for hardly ever meets. Candidates are verified on whole
+sets, so no false pair counts.
 
 Rows are reduced to one for each set and written once, bucketed by a number of
 the set: what follows reads texts from there without shuffling them again, and
@@ -28,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, join_groups, shared_dir
-from .simhash import components
+from .common import checkpointed, join_groups, shared_dir, spread
+from .simhash import components, indexed, majority
 
 WORDS, SEED = 5, 42
 #: Keys of a set, and hash functions that make one.
@@ -76,31 +80,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """node, n (the set's size), bits (``parities``) and row of each distinct set of ``df``: its row of least key, one with a null key only where there is no other.
+    """node, n (the set's size), fp (its fingerprint as a signed long), bits (``parities``) and row of each distinct set of ``df``: its row of least key, one with a null key only where there is no other.
 
     Written once, into a folder of the shared one, bucketed by node. Copies
     collapse within each task before the shuffle.
     """
     spark = df.sparkSession
 
-    @F.arrow_udf("struct<node:long,n:int,bits:array<long>>")
+    @F.arrow_udf("struct<node:long,n:int,fp:long,bits:array<long>>")
     def numbered(texts: pa.Array) -> pa.Array:
-        nodes, sizes, bits = [], [], [np.zeros(0, dtype=np.int64)]
+        nodes, sizes, prints, bits = [], [], [], [np.zeros(0, dtype=np.int64)]
         for x in texts:
             own = shingle_set(x.as_py())
             nodes.append(_node(own))
             sizes.append(len(own))
+            prints.append(majority(own.view(np.uint64)))
             bits.append(parities(own))
         ends = pa.array(np.cumsum([0, *map(len, bits[1:])]).astype(np.int32))
         lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits)))
         pa.default_memory_pool().release_unused()
-        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["node", "n", "bits"])
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), lists], names=["node", "n", "fp", "bits"])
 
     # Only texts go to Python; rows wait for their numbers in the JVM.
-    rows = df.select(F.struct("*").alias("row"), numbered(F.col(text).cast("string")).alias("x")).select("row", "x.node", "x.n", "x.bits")
+    rows = df.select(F.struct("*").alias("row"), numbered(F.col(text).cast("string")).alias("x")).select("row", "x.node", "x.n", "x.fp", "x.bits")
     own = F.col("row").getField(key)
     order = F.struct(own.isNull(), own, F.xxhash64(F.col("row").getField(text)))
-    distinct = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min_by("row", order).alias("row"))
+    distinct = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.min_by("row", order).alias("row"))
     buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"near_{uuid.uuid4().hex}"
     distinct.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/near-{name}").bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
@@ -133,6 +138,25 @@ def _keys(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, "node long, n int, s long")
 
 
+def _print_keys(sets: DataFrame) -> DataFrame:
+    """node, n, s: keys of sets that aren't empty, so that any two whose fingerprints are equal or within two bits have one in common.
+
+    One is for each component of fingerprints that ``simhash.indexed`` links;
+    a variant of many fingerprints is a key itself, so that such a crowd is not
+    paired here but verified like that of any key.
+    """
+    some = sets.where("n > 0").select("node", "n", "fp")
+    # Spread, since each of these small rows becomes 64 variants.
+    prints = checkpointed(spread(some.groupBy("fp").agg(F.count(F.lit(1)).alias("c")), "fp"))
+    pairs, crowds = indexed(prints.select("fp"))
+    linked = components(pairs).withColumnRenamed("node", "fp")
+    crowds = checkpointed(crowds.groupBy("fp").agg(F.collect_list(F.xxhash64(F.lit(1), "v")).alias("crowds")))  # 64 at most
+    own = F.when(F.col("root").isNotNull() | (F.col("c") > 1), F.array(F.xxhash64(F.lit(0), F.coalesce("root", "fp")))).otherwise(F.array().cast("array<long>"))
+    keys = F.concat(own, F.coalesce("crowds", F.array().cast("array<long>")))
+    shared = checkpointed(prints.join(linked, "fp", "left").join(crowds, "fp", "left").select("fp", "c", keys.alias("keys")).where(F.size("keys") > 0))
+    return join_groups(some, shared, "fp", "c").select("node", "n", F.explode("keys").alias("s"))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of ``s`` those that don't have theirs alone."""
     last, again = None, False  # the row kept back, and whether the one before it has the same ``s``
@@ -197,7 +221,7 @@ def groups(sets: DataFrame, text: str) -> DataFrame:
     Sets are in one group if pairs of similarity 4/5 or more lead from one to the other.
     """
     texts = sets.select("node", F.col("row").getField(text).cast("string").alias("t"))
-    held = checkpointed(_keys(texts).repartition("s").sortWithinPartitions("s").mapInArrow(_shared, "node long, n int, s long"))
+    held = checkpointed(_print_keys(sets).union(_keys(texts)).repartition("s").sortWithinPartitions("s").mapInArrow(_shared, "node long, n int, s long"))
     size = checkpointed(held.groupBy("s").agg(F.count(F.lit(1)).alias("c")))
     meets = join_groups(held, size, "s", "c").groupBy("node").agg(F.sum("c").alias("d"))
     ranked = held.join(meets, "node")

@@ -41,7 +41,11 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     if not text or not (found := text.encode(errors="replace").lower().split()):
         return 0
     shingles = map(b" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of unsigned hashes; of none it is 0."""
     totals = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         totals += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -74,12 +78,8 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between distinct fingerprints ``found.fp`` whose closure is that of all pairs within ``bits`` bits.
-
-    Within a shared variant of the second index all are within reach of the
-    least, so links to that one stand for the pairs. ``bits`` from 1 to 3.
-    """
+def indexed(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """a, b: the pairs of distinct fingerprints ``found.fp`` within ``bits`` bits that share a variant of at most ``bucket`` fingerprints; and fp, v: the fingerprints of each variant of more. ``bits`` from 1 to 3."""
     if not 1 <= bits <= 3:
         raise ValueError("bits must be 1, 2 or 3")
     variants = found.select("fp", F.explode(_variants(F.col("fp"), bits)).alias("v"))
@@ -90,12 +90,22 @@ def links(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     some = variants.join(shared.where(f"n > 2 AND n <= {bucket}").select("v"), "v", "left_semi")
     one, two = some.select(F.col("fp").alias("a"), F.col("v").alias("_v")), some.select(F.col("fp").alias("b"), F.col("v").alias("_w"))
     pairs = one.join(two, (F.col("_v") == F.col("_w")) & (F.col("a") < F.col("b")) & near).select("a", "b")
-    hot = variants.join(shared.where(f"n > {bucket}").select("v"), "v", "left_semi").select("fp").distinct()
+    return twos.union(pairs), variants.join(shared.where(f"n > {bucket}").select("v"), "v", "left_semi").select("fp", "v")
+
+
+def links(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links between distinct fingerprints ``found.fp`` whose closure is that of all pairs within ``bits`` bits.
+
+    Within a shared variant of the second index all are within reach of the
+    least, so links to that one stand for the pairs. ``bits`` from 1 to 3.
+    """
+    pairs, crowded = indexed(found, bits, bucket)
+    hot = crowded.select("fp").distinct()
     masks = F.array(*[F.lit(np.uint64(sum(1 << b for b in chosen)).astype(np.int64).item()) for chosen in combinations(range(64), bits)])
     left = hot.select("fp", F.explode(masks).alias("m")).select("fp", "m", F.col("fp").bitwiseAND(F.bitwise_not("m")).alias("k"))
     least = left.groupBy("m", "k").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     stars = least.select("a", F.explode("all").alias("b")).where("a < b")
-    return twos.union(pairs).union(stars).distinct()
+    return pairs.union(stars).distinct()
 
 
 def _relinked(all_: DataFrame, some: DataFrame, folder: str, own: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gleanmill.llm import shingle_sets
+from gleanmill.llm import shingle_sets, simhash
 
 
 def slow_set(text):
@@ -66,6 +66,46 @@ def test_near_stage_keeps_one_row_of_each_group(spark):
     assert {(r["doc_id"], (r["text"] or "")[0]) for r in kept} == {(None, "a"), (None, "b"), (7, "c"), (5, "d"), (5, "e"), (None, "f")}
 
 
+def test_simhash_links_meet_in_the_stage(spark):
+    """A pair of similarity 0.8 that no band has in common, but whose fingerprints differ in two bits."""
+    texts = [" ".join([*(f"p6w{k}" for k in range(12)), last]) for last in ("e253", "e286")]
+    a, b = map(shingle_sets.shingle_set, texts)
+    assert (len(a), len(b), len(np.intersect1d(a, b))) == (9, 9, 8)
+    assert np.intersect1d(shingle_sets.band_keys(a), shingle_sets.band_keys(b)).size == 0
+    one, two = (simhash.fingerprint(t, words=5) for t in texts)
+    assert (one ^ two).bit_count() == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()] == [0]
+
+
+def test_print_keys_by_brute_force(spark):
+    """Sets have a key of SimHash in common if their fingerprints are within two bits, and only if they are linked over a chain or share a crowded variant."""
+    rng = np.random.default_rng(4)
+    prints = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
+    turned = lambda base, most, low=0: base ^ sum(1 << int(k) for k in rng.choice(np.arange(low, 62), int(rng.integers(1, most + 1)), replace=False))
+    for base in prints[:20]:
+        for _ in range(4):  # a chain, each step of one to three bits
+            prints.append(base := turned(base, 3))
+    crowd = [turned(prints[39], 3, 32) for _ in range(60)]
+    prints += prints[30:35] + crowd
+    apart = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    rows = [(k, 3, fp) for k, fp in enumerate(prints)]
+    got = shingle_sets._print_keys(spark.createDataFrame([*rows, (1000, 0, prints[0])], "node long, n int, fp long")).collect()
+    assert len(got) < 64 * len(crowd) + len(rows)
+    keys = {}
+    for r in got:
+        keys.setdefault(r["node"], set()).add(r["s"])
+    assert 1000 not in keys
+    root = list(range(len(rows)))
+    for _ in range(len(rows)):
+        root = [min(root[j] for j, _, y in rows if apart(x, y) <= 2) for _, _, x in rows]
+    for i, _, x in rows:
+        for j, _, y in rows[:i]:
+            met = bool(keys.get(i, set()) & keys.get(j, set()))
+            assert met or apart(x, y) > 2
+            assert not met or root[i] == root[j] or min(apart(x & m, y & m) for m in ((1 << 32) - 1, (1 << 64) - (1 << 32))) <= 1 and apart(x, prints[39]) < 7
+
+
 def test_recall_of_candidates():
     """Of 2,000 pairs of similarity 0.8 to 0.85 hardly one has no key in common; of pairs that share a tenth hardly one has."""
     rng = np.random.default_rng(9)
