@@ -44,6 +44,18 @@ def test_titles():
     assert page.title_of(dom.parse("<html><p>x</p></html>")) == (None, None)
 
 
+def test_a_child_with_just_the_share_is_not_alone():
+    for whole in range(10, 1_000, 10):
+        most, rest = "x" * (whole * 7 // 10), "y" * (whole * 3 // 10)
+        assert page.content_of(dom.parse(f"<html><body><div>{most}</div><p>{rest}</p></body></html>")) == f"{most} {rest}"
+        assert page.content_of(dom.parse(f"<html><body><div>{most}x</div><p>{rest[1:]}</p></body></html>")) == f"{most}x"
+
+
+def test_content_keeps_references_that_are_cut_short():
+    found = dom.parse("<html><title>a &amp; b&amp</title><body><h1>a &amp; b&amp</h1></body></html>")
+    assert page.title_of(found)[0] == page.content_of(found).split(" a ")[0] == "a & b&amp"
+
+
 def test_next_page_edges():
     assert page.next_page_of(dom.parse('<a href="?p=3">3</a><a href="?p=2">2</a>'), "http://h/x?p=1") == "http://h/x?p=2"
     assert page.next_page_of(dom.parse('<a href="?p=1">1</a>'), "http://h/x?p=1") is None
