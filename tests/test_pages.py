@@ -44,6 +44,11 @@ def test_titles():
     assert page.title_of(dom.parse("<html><p>x</p></html>")) == (None, None)
 
 
+def test_page_titles_with_references():
+    for raw, title in (("a&amp", "a&amp"), ("a&&amp; &am", "a&& &am"), ("&lt;b&gt &#65; &#65", "<b&gt A &#65"), ("&nosuch; &ampx; &copy;2", "&nosuch; &ampx; ©2")):
+        assert page.title_of(dom.parse(f"<html><title>{raw}</title></html>"))[1] == title
+
+
 def test_a_child_with_just_the_share_is_not_alone():
     for whole in range(10, 1_000, 10):
         most, rest = "x" * (whole * 7 // 10), "y" * (whole * 3 // 10)
