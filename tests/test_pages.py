@@ -38,6 +38,12 @@ def test_text_units_relation_agrees_with_the_tree(spark):
     assert got == {x.ordinal: (units.size(x), units.size(x, 1)) for x in root.walk() if not x.is_text and units.has(x)}
 
 
+def test_text_units_count_references_as_they_stand(spark):
+    pages = spark.createDataFrame([(1, '<p>a&amp;b&amp</p><a href="/x">&lt;c&lt</a>')], "page_id long, html string")
+    got = {r["unit"]: (r["total_bytes"], r["link_bytes"], r["text"]) for r in dom.text_units(pages).collect()}
+    assert got == {0: (12, 5, "a&b&amp <c&lt"), 1: (7, 0, "a&b&amp"), 3: (5, 5, "<c&lt")}
+
+
 def test_titles():
     assert page.title_of(dom.parse("<html><title>News about cats - site</title><h1>Other things here now</h1><h2>News about cats</h2></html>"))[0] == "News about cats"
     assert page.title_of(dom.parse("<html><title>abcdef</title><h1>Something wholly different</h1></html>"))[0] == "Something wholly different"
