@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +76,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> Dat
     cold = groups.select(F.col(key), F.lit(0).cast("long").alias("_place"), F.struct(*values).alias("_cold"))
     joined = marked.join(cold, [key, "_place"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in values])
+
+
+#: Cached functions whose values, of hundreds of MB, a Python worker keeps from task to task.
+KEPT: list[Callable] = []
+
+
+def relieve() -> None:
+    """Gives back what ``KEPT`` functions hold in this worker. Spark hands its workers on from one query to the next, which has no use for that; it is only made anew if asked for again."""
+    if not any(f.cache_info().currsize for f in KEPT):
+        return
+    for f in KEPT:
+        f.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import KEPT, checkpointed, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -179,6 +179,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+KEPT.append(word_ids)
+
+
 def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts begin within the same ``CHUNK_BYTES``."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)

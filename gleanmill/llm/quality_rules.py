@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import relieve, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = dict.fromkeys(map(ord, "#*$%&|<>"))
@@ -116,6 +116,7 @@ def measure(text: str | None, limits: Mapping[int, int] = LIMITS) -> dict:
 
 def _measures(batches: Iterator[pa.RecordBatch], limits: Mapping[int, int]) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema([("doc_id", pa.int64()), *[(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("dup_line_chars", pa.int64()), ("dup_ngram_chars", pa.list_(pa.int64()))])
+    relieve()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -137,6 +138,7 @@ def keep_good(df: DataFrame, text: str = "text", limits: Mapping[int, int] = LIM
     schema = df.schema
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        relieve()
         for batch in batches:
             yield batch.filter(pa.array([measure(x.as_py(), limits)["kept"] for x in batch.column(text)], pa.bool_()))
 

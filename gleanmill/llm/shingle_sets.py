@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, join_groups, shared_dir, spread
+from .common import checkpointed, join_groups, relieve, shared_dir, spread
 from .simhash import components, indexed, majority
 
 WORDS, SEED = 5, 42
@@ -89,6 +89,7 @@ def write_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
     @F.arrow_udf("struct<node:long,n:int,fp:long,bits:array<long>>")
     def numbered(texts: pa.Array) -> pa.Array:
+        relieve()
         nodes, sizes, prints, bits = [], [], [], [np.zeros(0, dtype=np.int64)]
         for x in texts:
             own = shingle_set(x.as_py())

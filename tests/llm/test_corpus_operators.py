@@ -14,7 +14,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from test_shingle_sets import slow_groups
-from gleanmill.llm import exact_dedup, packing, secrets, simhash, warc
+from gleanmill.llm import exact_dedup, packing, quality_rules, secrets, simhash, warc
 from gleanmill.llm.common import checkpointed
 
 
@@ -520,3 +520,12 @@ def test_stages_take_odd_rows(spark, odd, tmp_path):
     assert {r["doc_id"] for r in frame.collect()} == {5}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), "").count() == 0
+
+
+def test_a_worker_gives_back_what_packing_kept():
+    path, texts = str(public_tokenizers.path(packing.VOCABULARY)), ["the same words again", None]
+    before = list(packing.word_ids(path).texts(texts))
+    assert packing.word_ids.cache_info().currsize
+    list(quality_rules._measures(iter([]), quality_rules.LIMITS))
+    assert not packing.word_ids.cache_info().currsize
+    assert list(packing.word_ids(path).texts(texts)) == before
