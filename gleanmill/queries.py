@@ -648,7 +648,9 @@ _PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot
 
 @query(f"SELECT page_id, trim({_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, {_B}) AS page_title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page.page_facts(table(spark, sf_dir, "pages"), "page_title").select("page_id", "page_title")
+    """The title of every page; empty if a page has none, null if it is null (which goes along in place of its address)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").isNotNull(), "").alias("url"), "html")
+    return page.page_facts(pages, "page_title").select("page_id", F.coalesce("page_title", "url").alias("page_title"))
 
 
 @query("SELECT page_id, 'Heading number ' || page_id AS title FROM pages")

@@ -55,6 +55,22 @@ def test_page_titles_with_references():
         assert page.title_of(dom.parse(f"<html><title>{raw}</title></html>"))[1] == title
 
 
+def test_page_title_query_on_odd_pages(spark, tmp_path):
+    import duckdb
+
+    from gleanmill import queries
+
+    html = ["<html><title>a</title><body><svg><title>b</title></svg></body></html>", "<title>a</title><title>b</title>", "<title> \n</title><p>x</p>", "<title></title>", "<p>x</p>", "x", " ", "", None]
+    spark.createDataFrame([(k, "http://h/", x) for k, x in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["page_title"] for r in queries.page_title(spark, str(tmp_path)).collect()}
+    assert got == dict(duckdb.sql(queries.ORACLES["page_title"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")).fetchall())
+    assert got == dict(enumerate(["a", "a", "", "", "", "", "", "", None]))
+
+
+def test_a_page_title_has_all_of_its_texts():
+    assert page.title_of(dom.parse("<html><title>a <3 b &amp c</title><p>x</p></html>"))[1] == "a <3 b &amp c"
+
+
 def test_a_child_with_just_the_share_is_not_alone():
     for whole in range(10, 1_000, 10):
         most, rest = "x" * (whole * 7 // 10), "y" * (whole * 3 // 10)
