@@ -44,6 +44,20 @@ def test_text_units_count_references_as_they_stand(spark):
     assert got == {0: (12, 5, "a&b&amp <c&lt"), 1: (7, 0, "a&b&amp"), 3: (5, 5, "<c&lt")}
 
 
+def test_text_units_of_pages_cut_anywhere_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from gleanmill import queries
+
+    html = '<html><head><title>a &amp; b</title></head><body><!-- c -- > <p>d --><ul><li><a href="/x">e</a></li></ul><p>f<br>g &lt;h</p></body></html>'
+    spark.createDataFrame([(k, html[:k]) for k in range(len(html) + 1)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    names = ["page_id", "unit", "total_bytes", "plain_bytes", "link_bytes", "texts", "link_texts", "text", "link_rate"]
+    got = sorted(tuple(r) for r in queries.text_units(spark, str(tmp_path)).select(names).collect())
+    sql = queries.ORACLES["text_units"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(duckdb.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
+    assert [r[7] for r in got if r[:2] == (len(html), 0)] == ["a & b e f g <h"]
+
+
 def test_titles():
     assert page.title_of(dom.parse("<html><title>News about cats - site</title><h1>Other things here now</h1><h2>News about cats</h2></html>"))[0] == "News about cats"
     assert page.title_of(dom.parse("<html><title>abcdef</title><h1>Something wholly different</h1></html>"))[0] == "Something wholly different"
