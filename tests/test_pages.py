@@ -58,6 +58,15 @@ def test_text_units_of_pages_cut_anywhere_are_those_of_the_sql(spark, tmp_path):
     assert [r[7] for r in got if r[:2] == (len(html), 0)] == ["a & b e f g <h"]
 
 
+def test_comments_and_what_a_page_end_cuts_short():
+    def texts(html):
+        return [x.text for x in dom.parse(html).walk() if x.is_text]
+
+    assert texts("a<!-- b -- > c -->d") == ["a", "d"]
+    assert texts('a<p class="b') == ["a", 'p class="b'] and texts("a</p") == ["a", "/p"] and texts("a<") == ["a"]
+    assert texts("a<!-- b &amp; c") == ["a", "!-- b & c"] and texts("a<!-- b <i>c") == ["a", "c"]
+
+
 def test_titles():
     assert page.title_of(dom.parse("<html><title>News about cats - site</title><h1>Other things here now</h1><h2>News about cats</h2></html>"))[0] == "News about cats"
     assert page.title_of(dom.parse("<html><title>abcdef</title><h1>Something wholly different</h1></html>"))[0] == "Something wholly different"
