@@ -58,6 +58,29 @@ def test_text_units_of_pages_cut_anywhere_are_those_of_the_sql(spark, tmp_path):
     assert [r[7] for r in got if r[:2] == (len(html), 0)] == ["a & b e f g <h"]
 
 
+def test_text_units_of_pages_with_scripts_cut_anywhere_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from gleanmill import queries
+
+    html = '<html><head><style>p{margin:0}</style><script src="/s.js"></script><title>a</title></head><body><p>b<script>var t="</p>";track(0);</script><a href="/x">c<style></style>d</a></body></html>'
+    odd = ["<p>a<style>b<script>c</script>d", "<script>a<p>b</p>", "<style>a<style>b</style>c", "<script>a</scr><p>b", "<script><script>a<p>b", "<style></style><script/><p>a"]
+    pages = [*(html[:k] for k in range(len(html) + 1)), *odd]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    names = ["page_id", "unit", "total_bytes", "plain_bytes", "link_bytes", "texts", "link_texts", "text", "link_rate"]
+    got = sorted(tuple(r) for r in queries.text_units(spark, str(tmp_path)).select(names).collect())
+    sql = queries.ORACLES["text_units"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(duckdb.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
+    assert [r[7] for r in got if r[:2] == (len(html), 0)] == ["a b c d"]
+
+
+def test_scripts_without_an_end_have_no_content():
+    assert tags("<script>a<p>b<style>c<i>d") == [("script", "#document"), ("p", "#document"), ("style", "p"), ("i", "p")]
+    assert tags("<div><style>a</script><p>b</div><script>c</script>") == [("div", "#document"), ("style", "div"), ("p", "div"), ("script", "#document")]
+    many = dom.parse("<script>a" * 200_000)
+    assert sum(x.is_text for x in many.walk()) == 200_000
+
+
 def test_comments_and_what_a_page_end_cuts_short():
     def texts(html):
         return [x.text for x in dom.parse(html).walk() if x.is_text]
